@@ -8,8 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontamination import contamination
+from .license_scan import license_matches
 from .near_dedup import near_duplicates
+from .piece_viterbi import encode
+from .quality import fit_quality, held_out, quality_scores
+from .secret_scan import joined, secret_findings
 from .shared import only, table
+from .token_counts import token_counts
+from .url_filter import judge_urls
+
+
+def model_path() -> str:
+    """Where the public SentencePiece model lies."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +30,32 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(docs, n=2, percent=80).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = only(table(spark, sf_dir, "documents"), doc_id="bigint", text="string", n_chars="bigint")
+    machine = fit_quality(docs, table(spark, sf_dir, "labels"))
+    scored = quality_scores(docs, machine, carry=["doc_id"])
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = only(table(spark, sf_dir, "documents"), doc_id="bigint", text="string")
+    found = license_matches(docs, carry=["doc_id"])
+    names = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["template"])))
+    best = F.array_max(F.transform("matches", lambda m: m["dice"]))
+    return found.select("doc_id", F.size("matches").cast("bigint").alias("n_matches"), F.array_join(names, ",").alias("licenses"), F.round(best, 6).alias("best_dice"))
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = only(table(spark, sf_dir, "pages"), page_id="bigint", url="string", html="string")
+    return judge_urls(pages, carry=["page_id"])
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = only(table(spark, sf_dir, "documents"), doc_id="bigint", text="string")
+    coded = encode(docs, model_path(), carry=["doc_id"], check=True)
+    return coded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids", "round_trip")
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = only(table(spark, sf_dir, "documents"), doc_id="bigint", text="string")
     found = contamination(docs, table(spark, sf_dir, "benchmark"), size=10, carry=["doc_id"])
@@ -24,9 +63,28 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = only(table(spark, sf_dir, "documents"), doc_id="bigint", text="string", source="string")
+    found = secret_findings(docs, carry=["doc_id"])
+    count = lambda kind: F.size(F.filter("findings", lambda x: x["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    base = F.filter("findings", lambda x: x["kind"] != "owned")
+    return found.select("doc_id", *map(count, ("assign", "access", "hex")), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("findings")).alias("spans"))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = only(table(spark, sf_dir, "documents"), doc_id="bigint", text="string")
+    return token_counts(docs, model_path(), carry=["doc_id"]).withColumn("over_limit", F.col("n_tokens") > 4096)
+
+
 ENTRIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
+    "op4_quality": op4_quality,
+    "op5_license_scan": op5_license_scan,
+    "op6_url_filter": op6_url_filter,
+    "op7_sentencepiece": op7_sentencepiece,
     "op8_decontamination": op8_decontamination,
+    "op9_secret_scan": op9_secret_scan,
+    "op10_token_counts": op10_token_counts,
 }
 
 SQL: dict[str, str] = {}
