@@ -12,9 +12,11 @@ how large a bucket is:
 1. Each bucket's members are compared with the bucket's least member: one link per
    member, from a grouped minimum and a join back. Confirmed links give first
    components; a large group of near copies becomes one component here.
-2. Buckets that still hold several components are finished exactly: small ones by
-   a self join, others in blocks, in which only members outside the bucket's
-   largest component visit all blocks. Pairs inside a component are never listed.
+2. In buckets that still hold several components, the members outside the largest
+   one are compared with a few members of it, which joins most of the rest.
+3. Buckets that hold several components even then are finished exactly: small ones
+   by a self join, others in blocks, in which only members outside the largest
+   component visit all blocks. Pairs inside a component are never listed.
 
 Candidates are confirmed on the full sets, recomputed from the whole texts of the
 candidates alone. A pair exactly at the similarity 0.8 shares no bucket with a
@@ -43,6 +45,8 @@ SYMBOLS = CHUNKS * WIDTH
 #: Signatures further apart than this are not candidates: beyond it lie fewer than one in a million pairs of similarity 0.8.
 FAR = 29
 BLOCK = 256
+#: Members of a bucket's largest component that its strangers are compared with before all others.
+PROBES = 8
 #: Ids that may be broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 200_000
 _MULTIPLIERS = np.random.default_rng(11).integers(1, 1 << 63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -129,17 +133,27 @@ def _confirm(percent: int):
     return run
 
 
-def _block_pairs(t: pa.Table) -> pa.Table:
-    """Pairs between visitors and members of one block of a bucket: at most BLOCK of either."""
-    sig = np.frombuffer(b"".join(t["sig"].to_pylist()), dtype=np.uint8).reshape(-1, SYMBOLS)
-    fp, comp, visitor, n = (t[c].to_numpy() for c in ("fp", "comp", "visitor", "n"))
-    members = ~visitor
-    a, b = [], []
-    for k in np.flatnonzero(visitor):
-        near = members & (comp != comp[k]) & ((sig != sig[k]).sum(axis=1) <= FAR)
-        b += fp[near].tolist()
-        a += [fp[k]] * int(near.sum())
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+def _block_pairs(percent: int):
+    """Pairs between visitors and members of one block of a bucket (at most BLOCK of either), in the first bucket that a pair shares."""
+
+    def run(t: pa.Table) -> pa.Table:
+        sig = np.frombuffer(b"".join(t["sig"].to_pylist()), dtype=np.uint8).reshape(-1, SYMBOLS)
+        fp, comp, visitor, n = (t[c].to_numpy() for c in ("fp", "comp", "visitor", "n"))
+        members = np.flatnonzero(~visitor)
+        here = int(t["key"][0].as_py()) >> 32
+        a, b = [], []
+        for k in np.flatnonzero(visitor).tolist():
+            may = members[(comp[members] != comp[k]) & (100 * np.minimum(n[members], n[k]) >= percent * np.maximum(n[members], n[k]))]
+            off = (sig[may] != sig[k]).reshape(-1, CHUNKS, WIDTH)
+            errors = off.sum(axis=2)
+            chunk = (errors <= 1).argmax(axis=1)
+            first = chunk * WIDTH + off[np.arange(len(may)), chunk].argmax(axis=1)
+            near = fp[may[(first == here) & (errors.sum(axis=1) <= FAR)]]
+            a += np.minimum(near, fp[k]).tolist()
+            b += np.maximum(near, fp[k]).tolist()
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
 
 
 class NearDuplicates:
@@ -191,13 +205,23 @@ class NearDuplicates:
         shared = keys.groupBy("key").agg(F.min("fp").alias("center"), F.max("fp").alias("other")).filter("center <> other").select("key", "center")
         return self.keep(keys.join(shared, "key"), "buckets")
 
-    def across(self, buckets: DataFrame, roots: DataFrame) -> DataFrame:
-        """Pairs of different components that share a bucket and are near by signature."""
+    def mixed(self, buckets: DataFrame, roots: DataFrame) -> DataFrame:
+        """Members of the buckets that hold several components: key, fp, comp, count, and whether fp is a stranger to the bucket's largest component. Materialised."""
         sizes = roots.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
         comp = roots.join(sizes, "root").select(F.col("node").alias("fp"), F.col("root").alias("comp"), "size")
         rows = buckets.select("key", "fp").join(comp, "fp", "left").select("key", "fp", F.coalesce("comp", "fp").alias("comp"), F.coalesce("size", F.lit(1)).alias("size"))
         stats = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("count"), F.max_by("comp", "size").alias("main")).filter("lo <> hi").select("key", "count", "main")
-        mixed = self.keep(rows.join(stats, "key").select("key", "fp", "comp", "count", F.expr("comp <> main").alias("stranger")), "mixed")
+        return self.keep(rows.join(stats, "key").select("key", "fp", "comp", "count", F.expr("comp <> main").alias("stranger")), "mixed")
+
+    def probes(self, mixed: DataFrame) -> DataFrame:
+        """Pairs of each stranger with a few members of its buckets' largest components, spread by salted hashes."""
+        mates = [F.min_by("fp", F.xxhash64("fp", F.lit(k))).alias(f"m{k}") for k in range(PROBES)]
+        main = mixed.filter("not stranger").groupBy("key").agg(*mates).select("key", F.array(*[f"m{k}" for k in range(PROBES)]).alias("mates"))
+        met = mixed.filter("stranger").join(main, "key").select("fp", F.explode("mates").alias("mate"))
+        return self.close(met.select(F.least("fp", "mate").alias("a"), F.greatest("fp", "mate").alias("b")).distinct())
+
+    def across(self, mixed: DataFrame) -> DataFrame:
+        """All pairs of different components that share a bucket and are near by signature, each once."""
         small = mixed.filter(f"count <= {BLOCK // 8}")
         x, y = (small.select("key", F.col("fp").alias(c), F.col("comp").alias(f"comp_{c}")) for c in "ab")
         pairs = self.close(x.join(y, "key").filter("a < b and comp_a <> comp_b").select("a", "b").distinct())
@@ -207,24 +231,25 @@ class NearDuplicates:
         cell = F.xxhash64("fp")
         members = large.select("key", "fp", "comp", "n", "sig", F.lit(False).alias("visitor"), F.pmod(cell, "bm").alias("m"), F.explode(F.expr("sequence(0L, bv - 1L)")).alias("v"))
         visitors = large.filter("stranger").select("key", "fp", "comp", "n", "sig", F.lit(True).alias("visitor"), F.explode(F.expr("sequence(0L, bm - 1L)")).alias("m"), F.pmod(cell, "bv").alias("v"))
-        blocks = members.unionByName(visitors).groupBy("key", "m", "v").applyInArrow(_block_pairs, "a bigint, b bigint")
-        return pairs.union(blocks.select(F.least("a", "b"), F.greatest("a", "b"))).distinct()
+        blocks = members.unionByName(visitors).groupBy("key", "m", "v").applyInArrow(_block_pairs(self.percent), "a bigint, b bigint")
+        return pairs.union(blocks).distinct()
 
     def result(self) -> DataFrame:
         buckets = self.buckets()
         stars = self.close(buckets.filter("fp <> center").select(F.col("center").alias("a"), F.col("fp").alias("b")).distinct())
-        first = components(self.confirmed(stars))
-        more = self.confirmed(self.across(buckets, first))
-        root = lambda c: F.coalesce(f"root_{c}", c)
-        x, y = (first.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
-        second = components(more.join(x, "a", "left").join(y, "b", "left").select(root("a").alias("a"), root("b").alias("b")))
-        named = self.classes.select("fp", "rep").join(first.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("node"))
-        named = named.join(second, "node", "left").select("fp", "rep", F.coalesce("root", "node").alias("root"))
+        roots = components(self.confirmed(stars))
+        mixed = buckets
+        for candidates in (self.probes, self.across):
+            mixed = self.mixed(mixed, roots)
+            known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+            self.made.append(roots)
+            roots = components(known.union(self.confirmed(candidates(mixed))))
+        named = self.classes.select("fp", "rep").join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
         least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
         named = self.keep(named.join(least, "root").select("fp", "component_id"), "names")
         docs = self.sketches.select("doc_id", "th", F.col("n").alias("n_shingles"), "fp").join(named, "fp", "left")
         docs = docs.withColumn("component_id", F.coalesce("component_id", "doc_id")).withColumn("kept", F.expr("doc_id <=> component_id"))
-        release([t for t in self.made if t not in (self.sketches, named)] + [first, second])
+        release([t for t in self.made if t not in (self.sketches, named)] + [roots])
         return docs
 
 
