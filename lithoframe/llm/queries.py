@@ -14,7 +14,9 @@ from .piece_viterbi import encode
 from .quality import fit_quality, held_out, quality_scores
 from .secret_scan import joined, secret_findings
 from .shared import only, table
+from .substring_dedup import remove_repeats
 from .token_counts import token_counts
+from .topk_search import top_k
 from .url_filter import judge_urls
 
 
@@ -30,6 +32,17 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(docs, n=2, percent=80).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = only(table(spark, sf_dir, "documents"), doc_id="bigint", text="string")
+    found = remove_repeats(docs, length=400, carry=["doc_id"])
+    removed = F.expr("aggregate(removed, 0L, (n, s) -> n + s.end - s.start)")
+    return found.select("doc_id", (F.octet_length("kept") + removed).alias("n_bytes"), removed.alias("n_removed"), F.size("removed").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = only(table(spark, sf_dir, "documents"), doc_id="bigint", text="string", n_chars="bigint")
     machine = fit_quality(docs, table(spark, sf_dir, "labels"))
@@ -78,6 +91,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ENTRIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
+    "op2_topk_search": op2_topk_search,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_quality": op4_quality,
     "op5_license_scan": op5_license_scan,
     "op6_url_filter": op6_url_filter,
