@@ -246,7 +246,7 @@ class NearDuplicates:
             roots = components(known.union(self.confirmed(candidates(mixed))))
         named = self.classes.select("fp", "rep").join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
         least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-        named = self.keep(named.join(least, "root").select("fp", "component_id"), "names")
+        named = self.keep(named.join(least, "root").select("fp", F.col("root").alias("group_id"), "component_id"), "names")
         docs = self.sketches.select("doc_id", "th", F.col("n").alias("n_shingles"), "fp").join(named, "fp", "left")
         docs = docs.withColumn("component_id", F.coalesce("component_id", "doc_id")).withColumn("kept", F.expr("doc_id <=> component_id"))
         release([t for t in self.made if t not in (self.sketches, named)] + [roots])
@@ -254,5 +254,19 @@ class NearDuplicates:
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per document: doc_id, th (hash of its text), n_shingles, fp (of its set), component_id, kept."""
+    """A row per document: doc_id, th (hash of its text), n_shingles, fp (of its set), group_id (of its component; null without words), component_id, kept."""
     return NearDuplicates(docs, n, percent, id_col, text_col).result()
+
+
+def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near copies: of each group one row stays, of the least id (and of its texts, if an id repeats, that of least hash). Texts without words all stay."""
+    groups = materialize(near_duplicates(docs, n, percent, id_col=id_col, text_col=text_col).filter("group_id is not null").select("doc_id", "th", "group_id", "kept"), "groups")
+    chosen = groups.filter("kept").groupBy("group_id").agg(F.min("th").alias("th"))
+    rows = groups.groupBy("group_id", "doc_id", "th").agg(F.count(F.lit(1)).alias("times"), F.first("kept").alias("kept"))
+    rows = rows.join(chosen.withColumnRenamed("th", "first"), "group_id").select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "times", (F.col("kept") & (F.col("th") == F.col("first"))).alias("stays"))
+    rows = materialize(rows.filter("times > 1 or not stays"), "leavers")
+    few = rows.count() <= BROADCAST_IDS
+    leavers = F.broadcast(rows) if few else rows
+    same = (F.col(id_col).cast("bigint").eqNullSafe(F.col("__id"))) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("__th"))
+    repeated = docs.join(F.broadcast(rows.filter("stays")) if few else rows.filter("stays"), same, "left_semi").withColumn("__th", F.xxhash64(F.col(text_col).cast("string"))).dropDuplicates([id_col, "__th"]).drop("__th")
+    return docs.join(leavers, same, "left_anti").unionByName(repeated)
