@@ -1,0 +1 @@
+"""Governed analytics over relational tables and files, on the DataFrame API."""

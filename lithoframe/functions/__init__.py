@@ -1 +1 @@
-
+"""Column expressions: text patterns, calendar, tiers and scores."""

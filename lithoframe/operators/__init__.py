@@ -1 +1 @@
-
+"""Profiling, dataset, comparison, retrieval and operations analytics."""

@@ -1 +1 @@
-
+"""Query specifications, join planning and the SQL guard."""

@@ -1 +1 @@
-
+"""Scans, catalog discovery and sinks."""
