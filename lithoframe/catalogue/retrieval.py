@@ -57,7 +57,7 @@ def rrf_fusion(spark, d):
 _EDGES = sorted({(r.from_table, r.to_table) for r in RELATIONS})
 
 
-@add("WITH RECURSIVE e AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _EDGES) + ") t(a, b)), both AS (SELECT a, b FROM e UNION SELECT b, a FROM e), walk AS (SELECT 'lineitem' AS node, 0 AS hops, 'lineitem' AS path UNION ALL SELECT b, hops + 1, path || '>' || b FROM walk JOIN both ON node = a WHERE hops < 6 AND strpos('>' || path || '>', '>' || b || '>') = 0), r AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY hops, path) AS p FROM walk) SELECT node, hops, path FROM r WHERE p = 1")
+@add("WITH RECURSIVE e AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _EDGES) + ") t(a, b)), pairs AS (SELECT a, b FROM e UNION SELECT b, a FROM e), walk AS (SELECT 'lineitem' AS node, 0 AS hops, 'lineitem' AS path UNION ALL SELECT b, hops + 1, path || '>' || b FROM walk JOIN pairs ON node = a WHERE hops < 6 AND strpos('>' || path || '>', '>' || b || '>') = 0), r AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY hops, path) AS p FROM walk) SELECT node, hops, path FROM r WHERE p = 1")
 def shortest_fk_path(spark, d):
     return shortest_paths(spark, spark.createDataFrame(_EDGES, "a string, b string"), "lineitem", 6)
 
