@@ -16,7 +16,8 @@ how large a bucket is:
    one are compared with a few members of it, which joins most of the rest.
 3. Buckets that hold several components even then are finished exactly: small ones
    by a self join, others in blocks, in which only members outside the largest
-   component visit all blocks. Pairs inside a component are never listed.
+   component visit all blocks. Blocks hold full sets, and give only as many links as
+   join their components. Pairs inside a component are never listed.
 
 Candidates are confirmed on the full sets, recomputed from the whole texts of the
 candidates alone. A pair exactly at the similarity 0.8 shares no bucket with a
@@ -44,7 +45,10 @@ CHUNKS, WIDTH = 12, 5
 SYMBOLS = CHUNKS * WIDTH
 #: Signatures further apart than this are not candidates: beyond it lie fewer than one in a million pairs of similarity 0.8.
 FAR = 29
-BLOCK = 256
+#: Rows of a block, and shingles of a block (8 bytes each) unless one set holds more.
+BLOCK, BLOCK_SHINGLES = 256, 1 << 20
+#: Buckets of so many members or fewer are compared pair by pair.
+FEW = 32
 #: Members of a bucket's largest component that its strangers are compared with before all others.
 PROBES = 8
 #: Ids that may be broadcast (8 bytes each); more are joined by a shuffle.
@@ -133,24 +137,35 @@ def _confirm(percent: int):
     return run
 
 
-def _block_pairs(percent: int):
-    """Pairs between visitors and members of one block of a bucket (at most BLOCK of either), in the first bucket that a pair shares."""
+def _block_links(percent: int):
+    """Links between visitors and members of one block, found on the full sets: of the links between the same two components one is kept, and none that earlier ones imply."""
 
     def run(t: pa.Table) -> pa.Table:
-        sig = np.frombuffer(b"".join(t["sig"].to_pylist()), dtype=np.uint8).reshape(-1, SYMBOLS)
         fp, comp, visitor, n = (t[c].to_numpy() for c in ("fp", "comp", "visitor", "n"))
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t["s"]]
         members = np.flatnonzero(~visitor)
-        here = int(t["key"][0].as_py()) >> 32
-        a, b = [], []
-        for k in np.flatnonzero(visitor).tolist():
-            may = members[(comp[members] != comp[k]) & (100 * np.minimum(n[members], n[k]) >= percent * np.maximum(n[members], n[k]))]
-            off = (sig[may] != sig[k]).reshape(-1, CHUNKS, WIDTH)
-            errors = off.sum(axis=2)
-            chunk = (errors <= 1).argmax(axis=1)
-            first = chunk * WIDTH + off[np.arange(len(may)), chunk].argmax(axis=1)
-            near = fp[may[(first == here) & (errors.sum(axis=1) <= FAR)]]
-            a += np.minimum(near, fp[k]).tolist()
-            b += np.maximum(near, fp[k]).tolist()
+        flat = np.concatenate([sets[k] for k in members.tolist()]) if len(members) else np.zeros(0, np.uint64)
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], np.repeat(np.arange(len(members)), n[members])[order]
+        root: dict[int, int] = {}
+
+        def find(c: int) -> int:
+            while (up := root.get(c, c)) != c:
+                c = up
+            return c
+
+        links = []
+        for k in np.flatnonzero(visitor).tolist() if len(members) else ():
+            lo, hi = np.searchsorted(flat, sets[k]), np.searchsorted(flat, sets[k], side="right")
+            reps = hi - lo
+            both = np.bincount(owner[np.repeat(lo - np.cumsum(reps) + reps, reps) + np.arange(reps.sum())], minlength=len(members))
+            near = members[(comp[members] != comp[k]) & (100 * both >= percent * (n[members] + n[k] - both))]
+            for c, j in zip(*np.unique(comp[near], return_index=True), strict=True):
+                x, y = find(int(c)), find(int(comp[k]))
+                if x != y:
+                    root[x] = y
+                    links.append(sorted((int(fp[k]), int(fp[near[j]]))))
+        a, b = zip(*links, strict=True) if links else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
@@ -176,11 +191,9 @@ class NearDuplicates:
         both = pairs.join(x, "a").join(y, "b").filter(f"100 * least(n_a, n_b) >= {self.percent} * greatest(n_a, n_b)")
         return both.select("a", "b", "sig_a", "sig_b").mapInArrow(_close, "a bigint, b bigint")
 
-    def confirmed(self, pairs: DataFrame) -> DataFrame:
-        """Of distinct pairs (a, b), those that are similar enough on the full sets. Materialised."""
-        pairs = self.keep(pairs, "candidates")
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-        ids = self.keep(self.classes.select("fp", "th").join(ids, "fp", "left_semi"), "ids")
+    def sets(self, fps: DataFrame) -> DataFrame:
+        """fp, s (the whole set) of the distinct classes ``fps``, from whole texts. Materialised."""
+        ids = self.keep(self.classes.select("fp", "th").join(fps, "fp", "left_semi"), "ids")
         few = ids.count() <= BROADCAST_IDS
         own, n = ids.select("th").distinct(), self.n
 
@@ -192,11 +205,17 @@ class NearDuplicates:
 
         # one text of each hash goes on: copies of it would only repeat its set
         texts = self.docs.select("th", "text").join(F.broadcast(own) if few else own, "th", "left_semi")
-        sets = texts.select("text").mapInArrow(run, "fp bigint, s binary").groupBy("fp").agg(F.first("s").alias("s"))
-        sets = self.keep(sets, "sets")
+        out = self.keep(texts.select("text").mapInArrow(run, "fp bigint, s binary").groupBy("fp").agg(F.first("s").alias("s")), "sets")
+        release([ids])
+        return out
+
+    def confirmed(self, pairs: DataFrame) -> DataFrame:
+        """Of distinct pairs (a, b), those that are similar enough on the full sets. Materialised."""
+        pairs = self.keep(pairs, "candidates")
+        sets = self.sets(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct())
         x, y = (sets.select(F.col("fp").alias(c), F.col("s").alias(f"s_{c}")) for c in "ab")
         out = self.keep(pairs.join(x, "a").join(y, "b").select("a", "b", "s_a", "s_b").mapInArrow(_confirm(self.percent), "a bigint, b bigint"), "links")
-        release([pairs, ids, sets])
+        release([pairs, sets])
         return out
 
     def buckets(self) -> DataFrame:
@@ -211,7 +230,7 @@ class NearDuplicates:
         comp = roots.join(sizes, "root").select(F.col("node").alias("fp"), F.col("root").alias("comp"), "size")
         rows = buckets.select("key", "fp").join(comp, "fp", "left").select("key", "fp", F.coalesce("comp", "fp").alias("comp"), F.coalesce("size", F.lit(1)).alias("size"))
         stats = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("count"), F.max_by("comp", "size").alias("main")).filter("lo <> hi").select("key", "count", "main")
-        return self.keep(rows.join(stats, "key").select("key", "fp", "comp", "count", F.expr("comp <> main").alias("stranger")), "mixed")
+        return self.keep(rows.join(stats, "key").select("key", "fp", "comp", "count", "main", F.expr("comp <> main").alias("stranger")), "mixed")
 
     def probes(self, mixed: DataFrame) -> DataFrame:
         """Pairs of each stranger with a few members of its buckets' largest components, spread by salted hashes."""
@@ -220,30 +239,46 @@ class NearDuplicates:
         met = mixed.filter("stranger").join(main, "key").select("fp", F.explode("mates").alias("mate"))
         return self.close(met.select(F.least("fp", "mate").alias("a"), F.greatest("fp", "mate").alias("b")).distinct())
 
-    def across(self, mixed: DataFrame) -> DataFrame:
-        """All pairs of different components that share a bucket and are near by signature, each once."""
-        small = mixed.filter(f"count <= {BLOCK // 8}")
+    def few(self, mixed: DataFrame) -> DataFrame:
+        """All pairs of different components that share a small bucket and are near by signature, each once."""
+        small = mixed.filter(f"count <= {FEW}")
         x, y = (small.select("key", F.col("fp").alias(c), F.col("comp").alias(f"comp_{c}")) for c in "ab")
-        pairs = self.close(x.join(y, "key").filter("a < b and comp_a <> comp_b").select("a", "b").distinct())
-        large = mixed.filter(f"count > {BLOCK // 8}").join(self.classes.select("fp", "n", "sig"), "fp")
-        visits = mixed.filter(f"count > {BLOCK // 8}").filter("stranger").groupBy("key").agg(F.count(F.lit(1)).alias("visits"))
-        large = large.join(visits, "key").withColumn("bm", F.expr(f"cast(ceil(count / {BLOCK}) as int)")).withColumn("bv", F.expr(f"cast(ceil(visits / {BLOCK}) as int)"))
+        return self.close(x.join(y, "key").filter("a < b and comp_a <> comp_b").select("a", "b").distinct())
+
+    def many(self, mixed: DataFrame) -> DataFrame:
+        """Links that join the components of the larger buckets. Materialised.
+
+        Buckets with the same largest component are compared as one: whatever is a
+        stranger to that component visits all that these buckets hold, block by block.
+        """
+        here = self.keep(mixed.filter(f"count > {FEW}").select("main", "fp", "comp", "stranger").distinct(), "here")
+        sets = self.sets(here.select("fp").distinct())
+        own = here.join(self.classes.select("fp", "n"), "fp")
+        blocks = lambda rows, size: F.ceil(F.greatest(rows / BLOCK, size / BLOCK_SHINGLES)).cast("bigint")
+        size = own.groupBy("main").agg(
+            blocks(F.count(F.lit(1)), F.sum("n")).alias("bm"), blocks(F.count_if("stranger"), F.sum(F.when(F.col("stranger"), F.col("n")).otherwise(0))).alias("bv")
+        )
+        own = own.join(size.filter("bv > 0"), "main").join(sets, "fp")
         cell = F.xxhash64("fp")
-        members = large.select("key", "fp", "comp", "n", "sig", F.lit(False).alias("visitor"), F.pmod(cell, "bm").alias("m"), F.explode(F.expr("sequence(0L, bv - 1L)")).alias("v"))
-        visitors = large.filter("stranger").select("key", "fp", "comp", "n", "sig", F.lit(True).alias("visitor"), F.explode(F.expr("sequence(0L, bm - 1L)")).alias("m"), F.pmod(cell, "bv").alias("v"))
-        blocks = members.unionByName(visitors).groupBy("key", "m", "v").applyInArrow(_block_pairs(self.percent), "a bigint, b bigint")
-        return pairs.union(blocks).distinct()
+        members = own.select("main", "fp", "comp", "n", "s", F.lit(False).alias("visitor"), F.pmod(cell, "bm").alias("m"), F.explode(F.expr("sequence(0L, bv - 1L)")).alias("v"))
+        visitors = own.filter("stranger").select("main", "fp", "comp", "n", "s", F.lit(True).alias("visitor"), F.explode(F.expr("sequence(0L, bm - 1L)")).alias("m"), F.pmod(cell, "bv").alias("v"))
+        out = self.keep(members.unionByName(visitors).groupBy("main", "m", "v").applyInArrow(_block_links(self.percent), "a bigint, b bigint"), "links")
+        release([here, sets])
+        return out
+
+    def joined(self, roots: DataFrame, links: DataFrame) -> DataFrame:
+        """The components after further links. Materialised."""
+        self.made.append(roots)
+        return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links))
 
     def result(self) -> DataFrame:
         buckets = self.buckets()
         stars = self.close(buckets.filter("fp <> center").select(F.col("center").alias("a"), F.col("fp").alias("b")).distinct())
         roots = components(self.confirmed(stars))
-        mixed = buckets
-        for candidates in (self.probes, self.across):
-            mixed = self.mixed(mixed, roots)
-            known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-            self.made.append(roots)
-            roots = components(known.union(self.confirmed(candidates(mixed))))
+        mixed = self.mixed(buckets, roots)
+        roots = self.joined(roots, self.confirmed(self.probes(mixed)))
+        mixed = self.mixed(mixed, roots)
+        roots = self.joined(roots, self.confirmed(self.few(mixed)).union(self.many(mixed)))
         named = self.classes.select("fp", "rep").join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
         least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
         named = self.keep(named.join(least, "root").select("fp", F.col("root").alias("group_id"), "component_id"), "names")
