@@ -102,7 +102,29 @@ ENTRIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_counts": op10_token_counts,
 }
 
-SQL: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+SQL: dict[str, str] = {
+    "op2_topk_search": """
+        WITH v AS (
+            SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT q.n, q.vec_id AS query_id, c.vec_id, c.n AS other, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.n <> c.n WHERE q.vec_id % 50 = 0
+        ), r AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id, other) AS p FROM s)
+        SELECT query_id, CAST(p AS INTEGER) AS rank, vec_id, score FROM r WHERE p <= 5""",
+    "op8_decontamination": f"""
+        WITH d AS (SELECT row_number() OVER () AS n, doc_id, {_WORDS} AS w FROM documents),
+        b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {_WORDS} AS w FROM benchmark),
+        g AS (SELECT DISTINCT item_id, list_slice(w, i, i + 9) AS g FROM (SELECT item_id, w, unnest(generate_series(1, greatest(len(w) - 9, 1))) AS i FROM b WHERE len(w) > 0)),
+        l AS (SELECT DISTINCT len(g) AS l FROM g),
+        o AS (SELECT n, w, l, unnest(generate_series(1, len(w) - l + 1)) AS i FROM d, l WHERE len(w) >= l),
+        h AS (SELECT n, i, l, item_id FROM o JOIN g ON list_slice(w, i, i + l - 1) = g.g),
+        f AS (SELECT n, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS items FROM h GROUP BY n),
+        c AS (SELECT n, count(DISTINCT p) AS n_hit FROM (SELECT n, unnest(generate_series(i, i + l - 1)) AS p FROM h) GROUP BY n)
+        SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN f USING (n) LEFT JOIN c USING (n)""",
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
