@@ -15,6 +15,9 @@ def _terms(text: Column) -> Column:
 def bm25(docs: DataFrame, queries: DataFrame, doc_id: str, fields: dict[str, float], query_id: str, query_text: str, k: int = 10, b: float = B) -> DataFrame:
     """query_id, doc_id, score, place: BM25 with smoothed idf, summed over weighted fields; ties by id.
 
+    Scores are rounded to 9 places before they are ranked: copies of a text tie, in
+    whatever order their parts were added.
+
     The queries' distinct terms are joined first, so only terms that are asked for
     are counted per document; lengths and document counts cover all documents.
     """
@@ -33,7 +36,7 @@ def bm25(docs: DataFrame, queries: DataFrame, doc_id: str, fields: dict[str, flo
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    score = asked.join(every, "term").groupBy("query_id", "doc_id").agg(F.sum("part").alias("score"))
+    score = asked.join(every, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 9).alias("score"))
     return _first(score, "query_id", k)
 
 
