@@ -1,11 +1,19 @@
 """Licence scans by the Dice coefficient over word bigrams, in DataFrame functions only.
 
 A text is normalised (lower case, every run of other characters than letters and
-digits a space) and read in passages: its lines, and the text as a whole if it has
-more than one line. A passage and a template, as sets of word bigrams of sizes a
-and b, have the Dice coefficient 2 |both| / (a + b); it can reach ``least`` only if
-the smaller size is at least least / (2 - least) times the larger, so a passage's
-number of words prunes templates before any bigram is made.
+digits a space) and read in passages: its lines, the text as a whole if it has more
+than one line, and windows of words across line breaks. A passage and a template, as
+sets of word bigrams of sizes a and b, have the Dice coefficient 2 |both| / (a + b);
+it can reach ``least`` only if the smaller size is at least least / (2 - least) times
+the larger, so a passage's number of words prunes templates before any bigram is made.
+
+Windows find notices that are wrapped over lines or share their line with other words.
+A window of a template begins and ends with one of its bigrams (taking other bigrams
+off the ends never lowers the coefficient) and has at most (2 - least) / least times as
+many bigrams, counted with repeats. Of the windows that begin at one bigram the best is
+kept (then the shortest); of those that share a word, the best, then the shortest, then
+the first. A window that shares a word with a line that matches its template is the
+same finding and not listed again; nor is any window if the text as a whole matches.
 
 Null and empty texts match nothing; neither do passages of one word. Repeated rows
 and ties between templates are all kept: every template that a passage matches is
@@ -16,6 +24,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,35 +51,93 @@ def template_bigrams(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)})
 
 
-def _hits(words: Column, templates: dict[str, list[str]], least: float) -> Column:
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), an array, with value computed once."""
+    return F.flatten(F.transform(F.array(value), use))
+
+
+def _bigrams(words: Column) -> Column:
+    return F.when(F.size(words) > 1, F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
+
+
+def _dice(own: Column, grams: Column) -> Column:
+    return 2.0 * F.size(F.array_intersect(own, grams)) / (F.size(own) + F.size(grams))
+
+
+def _hits(words: Column, stock: Column, least: float) -> Column:
     """(template, dice) of every template that a passage's words match."""
-    bigrams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.concat(F.element_at(words, i), F.lit(" "), F.element_at(words, i + 1))))
-    stock = F.array(*[F.struct(F.lit(n).alias("name"), F.array(*map(F.lit, b)).alias("grams")) for n, b in templates.items()])
 
     def judged(own: Column) -> Column:
         ratio = least / (2 - least)
         near = F.filter(stock, lambda t: F.least(F.size(own), F.size(t["grams"])) >= ratio * F.greatest(F.size(own), F.size(t["grams"])) - 1e-9)
-        scored = F.transform(near, lambda t: F.struct(t["name"].alias("template"), (2.0 * F.size(F.array_intersect(own, t["grams"])) / (F.size(own) + F.size(t["grams"]))).alias("dice")))
+        scored = F.transform(near, lambda t: F.struct(t["name"].alias("template"), _dice(own, t["grams"]).alias("dice")))
         return F.filter(scored, lambda x: x["dice"] >= least)
 
-    return F.flatten(F.transform(F.array(bigrams), judged))
+    return _let(F.array_distinct(_bigrams(words)), judged)
+
+
+def _best_windows(grams: Column, t: Column, least: float) -> Column:
+    """(loss, size, start) of the best window at each of the template's bigrams: loss is the negative coefficient, start and size count bigrams."""
+
+    def of_hits(hits: Column) -> Column:
+        def at(start: Column, k: Column) -> Column:
+            ends = F.filter(F.slice(hits, k + t["fewest"], t["most"]), lambda e: e - start < t["most"])
+            own = lambda e: F.array_distinct(F.slice(grams, start + 1, e - start + 1))
+            return F.array_min(F.transform(ends, lambda e: F.struct((-_dice(own(e), t["grams"])).alias("loss"), (e - start + 1).alias("size"), start.alias("start"))))
+
+        return F.filter(F.transform(hits, at), lambda w: w["loss"] <= -least)
+
+    return _let(F.array_compact(F.transform(grams, lambda g, i: F.when(F.array_contains(t["grams"], g), i))), of_hits)
+
+
+def _apart(windows: Column) -> Column:
+    """Windows of which no two share a word, the best first."""
+    meets = lambda a, b: (a["start"] <= b["start"] + b["size"]) & (b["start"] <= a["start"] + a["size"])
+    none = F.array().cast("array<struct<loss:double,size:int,start:int>>")
+    return F.aggregate(F.array_sort(windows), none, lambda kept, w: F.when(F.exists(kept, lambda k: meets(k, w)), kept).otherwise(F.concat(kept, F.array(w))))
+
+
+def _window_hits(lines: Column, words: Column, found: Column, stock: Column, every: list[str], least: float) -> Column:
+    """(template, dice) of the windows that neither a line nor the whole text gave."""
+
+    def of_grams(grams: Column) -> Column:
+        def of_common(common: Column) -> Column:
+            # a template of which too few bigrams are anywhere in the text has no window
+            likely = F.filter(stock, lambda t: (F.size(F.array_intersect(common, t["grams"])) >= t["fewest"]) & ~F.exists(found, lambda x: (x["template"] == t["name"]) & (x["line"] < 0)))
+            return F.when(F.size(likely) > 0, _let(F.flatten(F.transform(lines, lambda w, i: F.array_repeat(i, F.size(w)))), lambda line_of: F.flatten(F.transform(likely, lambda t: of_template(t, line_of))))).otherwise(F.array().cast(_HIT))
+
+        def of_template(t: Column, line_of: Column) -> Column:
+            def of_had(had: Column) -> Column:
+                fresh = F.filter(_best_windows(grams, t, least), lambda w: ~F.arrays_overlap(F.slice(line_of, w["start"] + 1, w["size"] + 1), had))
+                return F.transform(_apart(fresh), lambda w: F.struct(t["name"].alias("template"), (-w["loss"]).alias("dice")))
+
+            return _let(F.transform(F.filter(found, lambda x: x["template"] == t["name"]), lambda x: x["line"]), of_had)
+
+        return _let(F.array_intersect(grams, F.array(*map(F.lit, every))), of_common)
+
+    return _let(_bigrams(words), of_grams)
 
 
 def license_matches(docs: DataFrame, *, templates: dict[str, str] | None = None, least: float = 0.8, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """``carry`` (all columns if None) plus matches: array of (template, dice), one for each passage and template that match."""
-    stock = {n: g for n, t in sorted((TEMPLATES if templates is None else templates).items()) if (g := template_bigrams(t))}
+    kinds = {n: g for n, t in sorted((TEMPLATES if templates is None else templates).items()) if (g := template_bigrams(t))}
     carry = [c for c in (docs.columns if carry is None else carry) if c != "matches"]
-    if not stock:
+    if not kinds:
         return docs.select(*carry, F.array().cast(_HIT).alias("matches"))
     # a passage of w words has at most w - 1 bigrams, but repeats can leave it few: only the lower bound holds for words
-    fewest = math.ceil(min(map(len, stock.values())) * least / (2 - least) - 1e-9) + 1
-    most = max(map(len, stock.values())) * (2 - least) / least
+    fewest = math.ceil(min(map(len, kinds.values())) * least / (2 - least) - 1e-9) + 1
+    most = max(map(len, kinds.values())) * (2 - least) / least
+    limits = lambda b: (F.lit(math.ceil(b * least / (2 - least) - 1e-9)).alias("fewest"), F.lit(math.floor(b * (2 - least) / least + 1e-9)).alias("most"))
+    stock = F.array(*[F.struct(F.lit(n).alias("name"), F.array(*map(F.lit, b)).alias("grams"), *limits(len(b))) for n, b in kinds.items()])
     plain = F.regexp_replace(F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), r"[^\p{L}\p{N}\n]+", " ")
     own = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys(carry)], F.split(plain, "\n", -1).alias("__lines"))
+    split = own.withColumn("__lines", F.transform("__lines", lambda line: F.filter(F.split(line, " +"), lambda w: w != ""))).withColumn("__words", F.flatten("__lines"))
     # b bigrams need between 2 and b + 1 different words
-    lines = F.filter("__lines", lambda line: F.length(line) >= 2 * fewest - 1)
-    words = F.transform(F.concat(lines, F.when(F.size("__lines") > 1, F.array(F.array_join("__lines", " "))).otherwise(F.array().cast("array<string>"))), lambda line: F.split(F.trim(line), " +"))
-    passages = F.filter(words, lambda w: (F.size(w) >= fewest) & (F.size(F.array_distinct(w)) <= most + 1))
-    found = own.withColumn("__passages", passages)
-    hits = F.when(F.size("__passages") > 0, F.flatten(F.transform("__passages", lambda w: _hits(w, stock, least)))).otherwise(F.array().cast(_HIT))
-    return found.select(*carry, hits.cast(_HIT).alias("matches"))
+    passage = lambda words, line: F.struct(words.alias("words"), line.alias("line"))
+    whole = F.when(F.size("__lines") > 1, F.array(passage(F.col("__words"), F.lit(-1)))).otherwise(F.array().cast("array<struct<words:array<string>,line:int>>"))
+    passages = F.filter(F.concat(F.transform("__lines", passage), whole), lambda p: (F.size(p["words"]) >= fewest) & (F.size(F.array_distinct(p["words"])) <= most + 1))
+    located = lambda p: F.transform(_hits(p["words"], stock, least), lambda x: F.struct(x["template"].alias("template"), x["dice"].alias("dice"), p["line"].alias("line")))
+    found = split.withColumn("__found", F.flatten(F.transform(passages, located)))
+    windows = F.when(F.size("__words") >= fewest, _window_hits(F.col("__lines"), F.col("__words"), F.col("__found"), stock, sorted({g for b in kinds.values() for g in b}), least)).otherwise(F.array().cast(_HIT))
+    hits = F.concat(F.transform("__found", lambda x: F.struct(x["template"].alias("template"), x["dice"].alias("dice"))).cast(_HIT), windows.cast(_HIT))
+    return found.select(*carry, hits.alias("matches"))
