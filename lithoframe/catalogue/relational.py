@@ -134,7 +134,7 @@ def customers_without_orders_since(spark, d):
 @add("SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)")
 def customers_with_orders(spark, d):
     register(spark, d, ("customer", "orders"))
-    return guard.run(spark, "SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)", CONFIRMED, max_rows=1_000_000)
+    return guard.run(spark, "SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)", CONFIRMED, max_rows=None)
 
 
 @add("SELECT count(*) AS frequent_parts FROM (SELECT l_partkey FROM lineitem GROUP BY 1 HAVING count(*) >= 30)")
@@ -163,7 +163,7 @@ def _raw(name: str, sql: str, *views: str, confirmed=None):
 
     def query(spark, d):
         register(spark, d, views)
-        return guard.run(spark, sql, confirmed, max_rows=10_000_000)
+        return guard.run(spark, sql, confirmed, max_rows=None)
 
     query.__name__ = name
     add(sql)(query)

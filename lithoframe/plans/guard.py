@@ -96,9 +96,10 @@ def check_joins(spark: SparkSession, sql: str, confirmed: set[tuple[str, str, st
             raise Refused("a join has no confirmed pair of columns")
 
 
-def run(spark: SparkSession, sql: str, confirmed: set[tuple[str, str, str, str]] | None = None, max_rows: int = MAX_ROWS, args: dict | None = None) -> DataFrame:
-    """The checked statement's rows, one more than ``max_rows`` at most: if that row is there, the answer is truncated."""
+def run(spark: SparkSession, sql: str, confirmed: set[tuple[str, str, str, str]] | None = None, max_rows: int | None = MAX_ROWS, args: dict | None = None) -> DataFrame:
+    """The checked statement's rows, one more than ``max_rows`` at most: if that row is there, the answer is truncated. None: all rows."""
     check(spark, sql)
     if confirmed is not None:
         check_joins(spark, sql, confirmed)
-    return spark.sql(sql, args=args or {}).limit(max_rows + 1)
+    rows = spark.sql(sql, args=args or {})
+    return rows if max_rows is None else rows.limit(max_rows + 1)
