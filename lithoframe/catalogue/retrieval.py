@@ -48,9 +48,19 @@ def bm25_topk(spark, d):
     return o.bm25(table(spark, d, "documents"), q, "doc_id", {"text": 1.0}, "item_id", "text").withColumn("score", F.round("score", 6))
 
 
+#: The same over every item; copies of a text tie, as in the operator.
+_BM25_ALL = _BM25.replace(" WHERE item_id < 5", "").replace("sum(part) AS score", "round(sum(part), 9) AS score")
+
+
+@add(f"WITH {_BM25_ALL} SELECT query_id, doc_id, round(score, 6) AS score, place FROM ranked WHERE place <= 10")
+def bm25_topk_all(spark, d):
+    """bm25_topk asks for the five items of its SQL only."""
+    return o.bm25(table(spark, d, "documents"), table(spark, d, "benchmark"), "doc_id", {"text": 1.0}, "item_id", "text").withColumn("score", F.round("score", 6))
+
+
 @add(f"WITH {_BM25}, cos AS (SELECT vec_id AS doc_id, row_number() OVER (ORDER BY list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])) DESC, vec_id) AS place FROM embeddings, ({_QUERY}) ORDER BY place LIMIT 50) SELECT doc_id, round(sum(p), 8) AS score FROM (SELECT doc_id, 1.0 / (60 + place) AS p FROM cos UNION ALL SELECT doc_id, 0.5 / (60 + place) FROM ranked WHERE query_id = 1 AND place <= 50) GROUP BY 1 ORDER BY sum(p) DESC, doc_id LIMIT 10")
 def rrf_fusion(spark, d):
-    words = o.bm25(table(spark, d, "documents"), table(spark, d, "benchmark").filter("item_id < 5"), "doc_id", {"text": 1.0}, "item_id", "text", k=50).filter("query_id = 1")
+    words = o.bm25(table(spark, d, "documents"), table(spark, d, "benchmark").filter("item_id = 1"), "doc_id", {"text": 1.0}, "item_id", "text", k=50)
     return o.fuse([(_cosine(spark, d, 50), 1.0), (words, 0.5)]).withColumn("score", F.round("score", 8))
 
 
