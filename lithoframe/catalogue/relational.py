@@ -64,6 +64,12 @@ def orders_filters_mixed(spark, d):
     return build(spec, tables(spark, d, "orders"))
 
 
+@add("SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders WHERE o_orderstatus IN ('O', 'F') AND o_totalprice BETWEEN 1000 AND 90000 AND o_orderpriority <> '5-LOW' AND o_orderpriority LIKE '%-H%'")
+def orders_filters_mixed_all(spark, d):
+    where = [Condition("orders", "o_orderstatus", "IN", ["O", "F"]), Condition("orders", "o_totalprice", "BETWEEN", [1000, 90000]), Condition("orders", "o_orderpriority", "!=", "5-LOW"), Condition("orders", "o_orderpriority", "LIKE", "%-H%"), Condition("orders", "o_orderkey", "IS NOT NULL")]
+    return build(QuerySpec("orders", [Field("orders", c) for c in ("o_orderkey", "o_orderstatus", "o_orderpriority")], where=where), tables(spark, d, "orders"))
+
+
 def _by_grain(grain: str, part: str):
     @add(f"SELECT CAST({part} AS INTEGER) AS o_order_{grain}, count(*) AS row_count FROM orders GROUP BY 1")
     def query(spark, d):
@@ -176,6 +182,7 @@ _raw("correlated_average", "SELECT o_orderkey, o_custkey FROM orders o WHERE o_t
 _raw("window_rank_customers", "SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS place FROM customer", "customer")
 _raw("running_order_count", "SELECT o_custkey, o_orderkey, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS so_far FROM orders", "orders")
 _raw("lateral_largest_order", "SELECT c.c_custkey, x.o_orderkey FROM customer c, LATERAL (SELECT max(o.o_orderkey) AS o_orderkey FROM orders o WHERE o.o_custkey = c.c_custkey) x WHERE c.c_custkey < 100", "customer", "orders")
+_raw("lateral_largest_order_all", "SELECT c.c_custkey, x.o_orderkey FROM customer c, LATERAL (SELECT max(o.o_orderkey) AS o_orderkey FROM orders o WHERE o.o_custkey = c.c_custkey) x", "customer", "orders")
 _raw("guarded_join_count", "SELECT n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name", "customer", "nation", confirmed=CONFIRMED)
 
 
@@ -215,11 +222,21 @@ def synthesized_dates(spark, d):
     return table(spark, d, "orders").filter("o_orderkey < 500").select("o_orderkey", day.cast("string").alias("month_start"))
 
 
+@add("SELECT o_orderkey, strftime(make_date(year(o_orderdate), month(o_orderdate), 1), '%Y-%m-%d') AS month_start FROM orders")
+def synthesized_dates_all(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", make_date(F.year("o_orderdate"), F.month("o_orderdate")).cast("string").alias("month_start"))
+
+
 @add("SELECT c_custkey, '***' AS c_name, c_mktsegment FROM customer WHERE c_custkey <= 50")
 def masked_customers(spark, d):
     return mask(table(spark, d, "customer").filter("c_custkey <= 50").select("c_custkey", "c_name", "c_mktsegment"), {"c_name"})
 
 
+@add("SELECT c_custkey, '***' AS c_name, c_mktsegment FROM customer")
+def masked_customers_all(spark, d):
+    return mask(table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment"), {"c_name"})
+
+
 @add("SELECT s_suppkey, s_nationkey FROM supplier LIMIT 1000")
 def safe_entity_list(spark, d):
     return build(entity_list("supplier", ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"], {"s_name", "s_acctbal"}), tables(spark, d, "supplier"))
@@ -286,12 +303,25 @@ def upserted_customers(spark, d):
     return upsert(stored, table(spark, d, "customer").filter("c_custkey between 11 and 20").select("c_custkey", F.lit("new").alias("label")).unionByName(fresh), ["c_custkey"])
 
 
+@add("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 OR c_custkey % 2 = 0 THEN 'new' ELSE c_mktsegment END AS label FROM customer UNION ALL SELECT -1 - n_nationkey, 'new' FROM nation")
+def upserted_customers_all(spark, d):
+    c = table(spark, d, "customer")
+    fresh = table(spark, d, "nation").select((F.lit(-1) - F.col("n_nationkey")).cast("bigint").alias("c_custkey"), F.lit("new").alias("label"))
+    return upsert(c.filter("c_custkey % 3 <> 0").select("c_custkey", F.col("c_mktsegment").alias("label")), c.filter("c_custkey % 3 = 0 or c_custkey % 2 = 0").select("c_custkey", F.lit("new").alias("label")).unionByName(fresh), ["c_custkey"])
+
+
 @add("SELECT c_custkey, c_mktsegment AS label FROM customer WHERE c_custkey <= 30 UNION ALL SELECT c_custkey, 'late' FROM customer WHERE c_custkey BETWEEN 31 AND 40")
 def insert_ignored_customers(spark, d):
     c = table(spark, d, "customer")
     return insert_ignore(c.filter("c_custkey <= 30").select("c_custkey", F.col("c_mktsegment").alias("label")), c.filter("c_custkey between 21 and 40").select("c_custkey", F.lit("late").alias("label")), ["c_custkey"])
 
 
+@add("SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment ELSE 'late' END AS label FROM customer")
+def insert_ignored_customers_all(spark, d):
+    c = table(spark, d, "customer")
+    return insert_ignore(c.filter("c_custkey % 3 <> 0").select("c_custkey", F.col("c_mktsegment").alias("label")), c.filter("c_custkey % 3 = 0 or c_custkey % 2 = 0").select("c_custkey", F.lit("late").alias("label")), ["c_custkey"])
+
+
 @add("SELECT o_orderkey, o_custkey, total_chars FROM (SELECT o_orderkey, o_custkey, CAST(sum(length(CAST(o_orderkey AS VARCHAR)) + length(CAST(o_custkey AS VARCHAR))) OVER (ORDER BY o_orderkey) AS BIGINT) AS total_chars FROM (SELECT * FROM orders ORDER BY o_orderkey LIMIT 1000)) WHERE total_chars <= 2000")
 def budget_prefix(spark, d):
     rows = table(spark, d, "orders").orderBy("o_orderkey").limit(1000).select("o_orderkey", "o_custkey")

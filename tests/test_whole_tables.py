@@ -9,3 +9,13 @@ def test_bm25_ranks_every_item(spark, sf_dir):
     got = catalogue.queries()["bm25_topk_all"](spark, sf_dir).collect()
     assert len(items) > 5 and {r.query_id for r in got} == items
     assert all(1 <= r.place <= 10 for r in got)
+
+
+def test_every_row_is_there(spark, sf_dir):
+    run = lambda name: catalogue.queries()[name](spark, sf_dir).count()
+    size = {n: table(spark, sf_dir, n).count() for n in ("customer", "orders", "events", "nation")}
+    for name in ("lateral_largest_order_all", "masked_customers_all", "insert_ignored_customers_all"):
+        assert run(name) == size["customer"], name
+    assert run("upserted_customers_all") == size["customer"] + size["nation"]
+    assert run("synthesized_dates_all") == size["orders"] and run("normalized_cells_all") == size["events"]
+    assert run("sla_status_all") == table(spark, sf_dir, "orders").filter("o_orderdate < timestamp '2001-08-01'").count()
