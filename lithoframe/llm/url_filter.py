@@ -10,7 +10,9 @@ is positive and at least ``threshold`` times its trust.
 
 Links are counted per pair of hosts before anything is joined, so a host with very
 many pages is one row; ranks are summed with a combine before the shuffle. Rounds
-end when the ranks move by less than ``tolerance`` in total, at ``rounds`` at most.
+end when the ranks move by less than ``tolerance`` in total; round k moves them by
+2 * damping ** k at most, so that ends every run. What later rounds would move is left
+out: less than tolerance * damping / (1 - damping) in total.
 
 A null url, or one without ``://``, has an empty host and path, fits no rule and
 belongs to the empty host, which has no links. Null html has no links. Repeated
@@ -20,6 +22,7 @@ input that clash with the output's are replaced.
 
 from __future__ import annotations
 
+import math
 import string
 from dataclasses import dataclass
 
@@ -78,8 +81,10 @@ def host_links(pages: DataFrame) -> DataFrame:
     return links.select(F.col("host").alias("source"), url_parts(F.col("__url"))[0].alias("target")).filter("source <> target and source <> '' and target <> ''").groupBy("source", "target").agg(F.count(F.lit(1)).alias("n"))
 
 
-def page_rank(links: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 30, tolerance: float = 1e-6) -> DataFrame:
-    """host, rank: personalised PageRank of ``seeds`` (host, weight) over ``links`` (source, target, n). Materialised."""
+def page_rank(links: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int | None = None, tolerance: float = 1e-6) -> DataFrame:
+    """host, rank: personalised PageRank of ``seeds`` (host, weight) over ``links`` (source, target, n). Materialised. ``rounds``: as many as ``tolerance`` needs if None."""
+    if rounds is None:
+        rounds = math.ceil(math.log(tolerance / 2) / math.log(damping)) + 1
     total = seeds.agg(F.sum("weight")).first()[0] or 0
     base = seeds.filter("weight > 0").select("host", (F.col("weight") / F.lit(float(total or 1))).alias("base"))
     out_links = links.groupBy("source").agg(F.sum("n").alias("all"))
