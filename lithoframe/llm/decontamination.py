@@ -6,14 +6,17 @@ window's rarest word, so one prefix token per window is enough: words are ordere
 by their frequency over all documents, the rarest word of each window is its
 prefix token, and only documents' words that equal a prefix token become
 candidates. A candidate must leave room for the window on both sides (length and
-position), and then all words of the window are compared in place.
+position); it is looked up by one hash of all its words, and the words of what is found
+are compared as bytes.
 
 Windows are taken in blocks of at most ``max_windows`` distinct windows; a block
 is what is broadcast, so its size is bounded whatever the benchmark's, and further
 blocks are further passes over the documents.
 
 Nulls and empty texts have no words: no window, no hit. Repeated rows are judged
-each for itself. Input columns that clash with the output's are replaced.
+each for itself; an item id that repeats is one item. An item without an id marks words
+as hit, but is not listed among the items. Input columns that clash with the output's are
+replaced.
 """
 
 from __future__ import annotations
@@ -26,28 +29,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import without
-from .vectext import ALNUM, list_array, slices, with_columns, words
+from .shared import materialize, release, without
+from .vectext import ALNUM, LOWER, list_array, mix64, same_spans, slices, span_hashes, spans, with_columns, words
 
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 
 
 def item_windows(benchmark: DataFrame, size: int, text_col: str, id_col: str) -> DataFrame:
-    """One row per item and distinct window: item_id string, w array of word hashes."""
+    """One row per item and distinct window: item_id string, w array of word hashes, t its words (A-Z lower-cased), joined by spaces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, raw, at in slices(batch.column(1)):
-                h, rows = words(raw, at, ALNUM)
-                ids, grams = [], []
+                starts, ends, rows = spans(raw, at, ALNUM)
+                h, low = span_hashes(raw, starts, ends), LOWER[raw].tobytes()
+                ids, grams, texts = [], [], []
                 for k, item in enumerate(batch.column(0).slice(lo, hi - lo).to_pylist()):
                     own = h[rows[k] : rows[k + 1]].view(np.int64)
                     if len(own):
                         grams += [own] if len(own) <= size else list(np.lib.stride_tricks.sliding_window_view(own, size))
+                        named = [low[s:e].decode() for s, e in zip(starts[rows[k] : rows[k + 1]].tolist(), ends[rows[k] : rows[k + 1]].tolist(), strict=True)]
+                        texts += [" ".join(named[i : i + size]) for i in range(len(grams) - len(ids))]
                         ids += [item] * (len(grams) - len(ids))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array([g.tolist() for g in grams], pa.list_(pa.int64()))], names=["item_id", "w"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array([g.tolist() for g in grams], pa.list_(pa.int64())), pa.array(texts, pa.string())], names=["item_id", "w", "t"])
 
-    return benchmark.select(F.col(id_col).cast("string"), F.col(text_col).cast("string")).mapInArrow(run, "item_id string, w array<bigint>").distinct()
+    return benchmark.select(F.col(id_col).cast("string"), F.col(text_col).cast("string")).mapInArrow(run, "item_id string, w array<bigint>, t string").distinct()
 
 
 def word_frequencies(docs: DataFrame, vocabulary: np.ndarray, text_col: str) -> DataFrame:
@@ -77,41 +84,85 @@ def _bitmap(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+def _joint(columns: list[np.ndarray]) -> np.ndarray:
+    """One hash for each row of words given column by column."""
+    out = mix64(columns[0] + np.uint64(len(columns)))
+    for c in columns[1:]:
+        out = mix64(out) + c * _ODD
+    return mix64(out)
+
+
 class WindowIndex:
-    """Distinct windows of one block by their prefix token."""
+    """Distinct windows of one block by their prefix token.
 
-    def __init__(self, windows: list[list[int]], items: list[list[str]], rarity: dict[int, int], size: int):
+    Windows of one length whose prefix token stands at one place form a group. A
+    document's word that is a prefix token of a group fixes where such a window would
+    start; that stretch is looked up among the group's windows by one hash of all its
+    words, and what is found is compared word by word, as bytes. A word thus costs at
+    most one look-up per group, however many windows share their prefix token.
+    """
+
+    def __init__(self, windows: list[list[int]], texts: list[str], items: list[list[str]], rarity: dict[int, int], size: int):
         full = np.zeros((len(windows), size), dtype=np.int64)
         self.length = np.array([len(w) for w in windows], dtype=np.int64)
         for k, w in enumerate(windows):
             full[k, : len(w)] = w
         offset = np.array([min(range(len(w)), key=lambda j, w=w: (rarity.get(w[j], 0), w[j], j)) for w in windows], dtype=np.int64)
         token = full[np.arange(len(windows)), offset]
-        order = np.argsort(token, kind="stable")
-        self.full, self.length, self.offset, self.items = full[order], self.length[order], offset[order], [items[k] for k in order]
-        self.tokens, self.first = np.unique(token[order], return_index=True)
-        self.count = np.diff(np.append(self.first, len(order)))
+        self.items = items
+        self.tokens = np.unique(token)
         self.maybe = _bitmap(self.tokens.view(np.uint64))
-
-    def find(self, h: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Window number, first word and row of every occurrence among the rows' words."""
+        self.groups = []
+        for n, j in np.unique(np.stack([self.length, offset], axis=1), axis=0).tolist() if len(windows) else ():
+            own = np.flatnonzero((self.length == n) & (offset == j))
+            keys = _joint([full[own, c].view(np.uint64) for c in range(n)])
+            order = np.argsort(keys, kind="stable")
+            self.groups.append((n, j, np.isin(self.tokens, token[own]), keys[order], own[order], int(np.unique(keys, return_counts=True)[1].max())))
+        # the words of all windows as bytes, laid end to end
+        words = [w.encode() for t in texts for w in t.split(" ")]
+        sizes = np.array([len(w) for w in words], dtype=np.int64)
+        self.bytes, self.word_start = np.frombuffer(b"".join(words), dtype=np.uint8), np.cumsum(sizes) - sizes
+        self.word_size, self.first_word = sizes, np.cumsum(self.length) - self.length
+
+    def find(self, h: np.ndarray, rows: np.ndarray, low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Window number, first word and row of every occurrence among the rows' words; ``low``: lower-cased bytes, starts and ends: of the words."""
         at = np.flatnonzero(self.maybe[h >> np.uint64(44)])
-        h = h.view(np.int64)
-        k = np.searchsorted(self.tokens, h[at])
+        signed = h.view(np.int64)
+        k = np.searchsorted(self.tokens, signed[at])
         k[k == len(self.tokens)] = 0
-        same = self.tokens[k] == h[at]
+        same = self.tokens[k] == signed[at]
         at, k = at[same], k[same]
-        reps = self.count[k]
-        window = np.repeat(self.first[k], reps) + np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
-        at = np.repeat(at, reps)
         row = np.searchsorted(rows, at, side="right") - 1
-        start = at - self.offset[window]
-        fits = (start >= rows[row]) & (start + self.length[window] <= rows[row + 1])
-        window, start, row = window[fits], start[fits], row[fits]
-        for j in range(self.full.shape[1]):
-            ok = (j >= self.length[window]) | (h[np.minimum(start + j, len(h) - 1)] == self.full[window, j])
-            window, start, row = window[ok], start[ok], row[ok]
-        return window, start, row
+        out: list[tuple] = [(np.zeros(0, np.int64),) * 3]
+        for n, j, tokens, keys, window, most in self.groups:
+            own = tokens[k]
+            start, r = at[own] - j, row[own]
+            fits = (start >= rows[r]) & (start + n <= rows[r + 1])
+            start, r = start[fits], r[fits]
+            if not len(start):
+                continue
+            key = _joint([h[start + c] for c in range(n)])
+            place = np.searchsorted(keys, key)
+            for d in range(most):  # more than once only where two windows have one hash
+                p = np.minimum(place + d, len(keys) - 1)
+                hit = (place + d < len(keys)) & (keys[p] == key)
+                w, s, q = window[p[hit]], start[hit], r[hit]
+                if len(w):
+                    equal = self._equal(w, s, n, low, starts, ends)
+                    out.append((w[equal], s[equal], q[equal]))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+    def _equal(self, window: np.ndarray, start: np.ndarray, n: int, low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Whether the words from ``start`` on are the window's, by their bytes."""
+        step = np.arange(n)
+        mine, theirs = (start[:, None] + step).ravel(), (self.first_word[window][:, None] + step).ravel()
+        s, size, t = starts[mine], ends[mine] - starts[mine], self.word_start[theirs]
+        fine = size == self.word_size[theirs]
+        if fine.all() and same_spans(np.concatenate([low, self.bytes]), s, s + size, t + len(low)):
+            return np.ones(len(window), dtype=bool)
+        for x in np.flatnonzero(fine).tolist():
+            fine[x] = np.array_equal(low[s[x] : s[x] + size[x]], self.bytes[t[x] : t[x] + size[x]])
+        return fine.reshape(-1, n).all(axis=1)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, *, text_col: str = "text", item_text: str = "text", item_id: str = "item_id", carry: list[str] | None = None, max_windows: int = 200_000) -> DataFrame:
@@ -119,19 +170,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, *, text
     spark = docs.sparkSession
     made = ("n_words", "hit_spans", "items")
     carry = [c for c in (docs.columns if carry is None else carry) if c not in made]
-    windows = item_windows(benchmark, size, item_text, item_id).groupBy("w").agg(F.array_sort(F.collect_set("item_id")).alias("items")).persist()
+    windows = item_windows(benchmark, size, item_text, item_id).groupBy("w", "t").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    windows = materialize(windows, "windows")
     blocks = max(1, -(-windows.count() // max_windows))
     out, schema = docs.select(*dict.fromkeys([*carry, text_col])), None
     for b in range(blocks):
         rows = (windows if blocks == 1 else windows.filter(F.pmod(F.xxhash64("w"), F.lit(blocks)) == b)).collect()  # at most about max_windows rows
         vocabulary = np.unique(np.array([x for r in rows for x in r.w], dtype=np.int64))
         rarity = {r.word: r.n for r in word_frequencies(docs, vocabulary, text_col).collect()} if len(vocabulary) else {}
-        index = spark.sparkContext.broadcast(WindowIndex([r.w for r in rows], [list(r["items"]) for r in rows], rarity, size)) if rows else None
+        index = spark.sparkContext.broadcast(WindowIndex([r.w for r in rows], [r.t for r in rows], [list(r["items"]) for r in rows], rarity, size)) if rows else None
         last = b == blocks - 1
         kept = carry if last else list(dict.fromkeys([*carry, text_col]))
         schema = T.StructType([*without(out.select(*kept).schema, made).fields, T.StructField("n_words", T.LongType()), T.StructField("hit_spans", SPANS), T.StructField("items", T.ArrayType(T.StringType()))])
         out = out.mapInArrow(_pass(index, text_col, kept, b > 0), schema)
-    windows.unpersist()
+    release([windows])
     return out
 
 
@@ -142,9 +194,10 @@ def _pass(index, text_col: str, kept: list[str], more: bool):
             n_words, n_spans, flat, n_items, names = [], [], [], [], []
             column = batch.column(batch.schema.get_field_index(text_col))
             for lo, hi, raw, at in slices(column):
-                h, rows = words(raw, at, ALNUM)
+                starts, ends, rows = spans(raw, at, ALNUM)
+                h = span_hashes(raw, starts, ends)
                 n_words.append(np.diff(rows))
-                window, start, row = own.find(h, rows) if own is not None and len(h) else (np.zeros(0, np.int64),) * 3
+                window, start, row = own.find(h, rows, LOWER[raw], starts, ends) if own is not None and len(h) else (np.zeros(0, np.int64),) * 3
                 end = start + own.length[window] if len(window) else start
                 if more:  # what earlier blocks found
                     had = [(rows[k] + s["start"], rows[k] + s["end"], k) for k, ss in enumerate(batch.column("hit_spans").slice(lo, hi - lo).to_pylist()) for s in ss]

@@ -4,9 +4,11 @@ Among all ways to cut a text into pieces the one with the greatest sum of scores
 taken. Texts fall into units (see ``pieces``) that no piece crosses; the distinct
 units of a slice are searched once. Units of equal length advance together as one
 matrix: the hashes of all their substrings of one length are looked up in the
-sorted piece keys at once, and for each end position the maximum over the last
-piece's length is taken for all units together, which leaves a back pointer. Of
-equal sums the shorter last piece wins. A character that is no piece costs the
+sorted piece keys at once (and the bytes of what is found are compared), and for each
+end position the maximum over the last piece's length is taken for all units together,
+which leaves a back pointer. Of equal sums the shorter last piece wins. Units of more
+than ``LONG`` bytes are searched one by one in the same way, from a window of start
+positions at a time, so an unbroken run of any length needs a few bytes a position. A character that is no piece costs the
 least score less 10 and becomes its bytes' pieces, so that decoding gives the text
 back whole.
 
@@ -28,11 +30,13 @@ from pyspark.sql import types as T
 
 from .pieces import Pieces, prefixed, units
 from .shared import without
-from .vectext import PLAIN, POWERS, list_array, mix64, slices, with_columns
+from .vectext import POWERS, ROLLING, list_array, mix64, slices, with_columns
 
 SLICE = 2 << 20
 #: Cells (units times length) that one matrix holds.
 CELLS = 1 << 18
+#: Units of more bytes are searched one by one, this many start positions at a time.
+LONG, WINDOW = 512, 1 << 14
 _CHAR = np.zeros(256, dtype=np.int8)
 _CHAR[:128], _CHAR[192:224], _CHAR[224:240], _CHAR[240:248] = 1, 2, 3, 4
 
@@ -44,7 +48,12 @@ class Lattice:
         raw = [t.encode() for t in pieces.text]
         POWERS.need(max(map(len, raw)) + 1)
         keys = np.array([_key(np.frombuffer(b, np.uint8)) for b in raw], dtype=np.uint64)
+        if len(np.unique(keys)) < len(keys):
+            raise ValueError("two pieces of the model have the same key")
         order = np.argsort(keys)
+        self.bytes = np.zeros((len(raw), max(map(len, raw))), dtype=np.uint8)
+        for k, j in enumerate(order.tolist()):
+            self.bytes[k, : len(raw[j])] = np.frombuffer(raw[j], np.uint8)
         self.keys, self.score = keys[order], np.array(pieces.score, dtype=np.float64)[order]
         self.ids, self.byte_ids = np.array(pieces.ids, dtype=np.int32)[order], np.array(pieces.byte_ids, dtype=np.int32)
         self.lengths = np.unique([len(b) for b in raw])
@@ -63,12 +72,60 @@ class Lattice:
         out[some] = np.where(self.keys[k] == own, k, -1)
         return out
 
+    def matches(self, text: np.ndarray, m: int) -> np.ndarray:
+        """For each unit and start position the piece of ``m`` bytes there, or -1."""
+        n, length = text.shape
+        sums = np.zeros((n, length + 1), dtype=np.uint64)
+        np.cumsum(ROLLING[text] * POWERS.up[:length], axis=1, out=sums[:, 1:])
+        return self._matches(text, sums, m)
+
+    def _matches(self, text: np.ndarray, sums: np.ndarray, m: int) -> np.ndarray:
+        length = text.shape[1]
+        here = self.lookup(mix64((sums[:, m:] - sums[:, :-m]) * POWERS.down[: length - m + 1] + np.uint64(m)))
+        unit, start = np.nonzero(here >= 0)
+        k = here[unit, start]
+        other = (np.lib.stride_tricks.sliding_window_view(text, m, axis=1)[unit, start] != self.bytes[k, :m]).any(axis=1)
+        here[unit[other], start[other]] = -1
+        return here
+
+    def search_long(self, text: np.ndarray) -> np.ndarray:
+        """Ids of the tokens of one long unit."""
+        length, widest = len(text), int(self.lengths[-1])
+        POWERS.need(WINDOW + widest + 1)
+        best, size, piece = [0.0] + [-np.inf] * length, np.zeros(length + 1, np.int32), np.full(length + 1, -1, np.int32)
+        score = self.score.tolist()
+        for c in range(0, length, WINDOW):
+            part = text[None, c : c + WINDOW + widest - 1]
+            own = min(WINDOW, length - c)
+            starts, sizes, pieces = [], [], []
+            plain = _CHAR[part[0, :own]].astype(np.int64)  # characters that may be no piece
+            for m in self.lengths[self.lengths <= part.shape[1]].tolist():
+                here = self.matches(part, m)[0, :own]
+                at = np.flatnonzero(here >= 0)
+                plain[at[plain[at] == m]] = 0
+                starts.append(at)
+                sizes.append(np.full(len(at), m))
+                pieces.append(here[at])
+            at = np.flatnonzero(plain)
+            starts, sizes, pieces = (np.concatenate(x) for x in ([*starts, at], [*sizes, plain[at]], [*pieces, np.full(len(at), -1, np.int32)]))
+            order = np.lexsort((sizes, starts))
+            for s, m, k in zip((starts[order] + c).tolist(), sizes[order].tolist(), pieces[order].tolist(), strict=True):
+                value, end = best[s] + (score[k] if k >= 0 else self.unknown), s + m
+                if end <= length and (value > best[end] or (value == best[end] and m < size[end])):
+                    best[end], size[end], piece[end] = value, m, k
+        out, at = [], length
+        while at > 0:
+            m, k = int(size[at]), int(piece[at])
+            out += [int(self.ids[k])] if k >= 0 else self.byte_ids[text[at - m : at]][::-1].tolist()
+            at -= m
+        return np.array(out[::-1], dtype=np.int32)
+
     def search(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all tokens of equally long units (a matrix of bytes), unit after unit, and their numbers."""
         n, length = text.shape
         POWERS.need(length + 1)
         sums = np.zeros((n, length + 1), dtype=np.uint64)
-        np.cumsum(PLAIN[text] * POWERS.up[:length], axis=1, out=sums[:, 1:])
+        np.cumsum(ROLLING[text] * POWERS.up[:length], axis=1, out=sums[:, 1:])
         best = np.full((length + 1, n), -np.inf)
         best[0] = 0
         size = np.zeros((length + 1, n), dtype=np.int32)
@@ -76,7 +133,7 @@ class Lattice:
         char = _CHAR[text]
         found = {}
         for m in self.lengths[self.lengths <= length].tolist():
-            found[m] = self.lookup(mix64((sums[:, m:] - sums[:, :-m]) * POWERS.down[: length - m + 1] + np.uint64(m))).T.copy()
+            found[m] = self._matches(text, sums, m).T.copy()
         for end in range(1, length + 1):
             for m in found:
                 if m > end:
@@ -129,7 +186,11 @@ class Lattice:
             step = max(1, CELLS // m)
             for k in range(0, len(own), step):
                 some = own[k : k + step]
-                got, numbers = self.search(raw[starts[some][:, None] + np.arange(m)])
+                if m > LONG:
+                    each = [self.search_long(raw[starts[j] : starts[j] + m]) for j in some.tolist()]
+                    got, numbers = np.concatenate(each), np.array([len(x) for x in each])
+                else:
+                    got, numbers = self.search(raw[starts[some][:, None] + np.arange(m)])
                 ids.append(got)
                 count[some], first[some] = numbers, total + np.cumsum(numbers) - numbers
                 total += len(got)
@@ -142,7 +203,7 @@ class Lattice:
 
 
 def _key(raw: np.ndarray) -> int:
-    value = (PLAIN[raw] * POWERS.up[: len(raw)]).sum(dtype=np.uint64)
+    value = (ROLLING[raw] * POWERS.up[: len(raw)]).sum(dtype=np.uint64)
     return int(mix64(np.array([value + np.uint64(len(raw))], dtype=np.uint64))[0])
 
 

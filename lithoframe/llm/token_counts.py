@@ -5,7 +5,8 @@ pairs that are pieces, by rank; the pair of lowest rank (the leftmost of equals)
 popped and merged in a linked list, and its new neighbours are pushed, until no
 pair is left. A unit's count is its symbols less the merges; a character that is no
 piece counts its UTF-8 bytes. Units repeat, so each task keeps counts of units that
-it has seen in a table of bounded size.
+it has seen, by their bytes, in a table of bounded size; inside a slice, units of equal
+hash and length are counted once after their bytes were compared.
 
 Null and empty texts count 0. Repeated rows, very long texts and ties need nothing
 special: rows are counted each for itself, and a unit of n characters costs n log n.
@@ -23,10 +24,10 @@ from pyspark.sql import types as T
 
 from .pieces import Pieces, prefixed, units
 from .shared import without
-from .vectext import slices, with_columns
+from .vectext import same_spans, slices, with_columns
 
-#: Units whose counts a task keeps.
-KEPT_UNITS = 600_000
+#: Units whose counts a task keeps, and the longest of them in bytes.
+KEPT_UNITS, KEPT_BYTES = 600_000, 256
 
 
 def ranks_of(pieces: Pieces) -> dict[str, int]:
@@ -75,19 +76,26 @@ def token_counts(docs: DataFrame, model_path: str, *, text_col: str = "text", ca
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank, alone = shared.value
-        known: dict[int, int] = {}
+        known: dict[bytes, int] = {}
         for batch in batches:
             n_bytes, n_tokens = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for _, _, raw, at in slices(batch.column(batch.schema.get_field_index(text_col))):
                 n_bytes.append(np.diff(at))
                 raw, at = prefixed(raw, at)
                 starts, ends, hashes, rows = units(raw, at, alone)
-                distinct, one, which = np.unique(hashes, return_index=True, return_inverse=True)
-                counts = list(map(known.get, distinct.tolist()))
-                data = raw.tobytes()
-                for k, c in enumerate(counts):
+                _, one, which = np.unique(hashes, return_index=True, return_inverse=True)
+                alike = (ends - starts == (ends - starts)[one][which]).all() and same_spans(raw, starts, ends, starts[one][which])
+                if not alike:  # two units with one hash: each is looked up for itself
+                    one, which = np.arange(len(starts)), np.arange(len(starts))
+                data, counts = raw.tobytes(), []
+                for s, e in zip(starts[one].tolist(), ends[one].tolist(), strict=True):
+                    unit = data[s:e]
+                    c = known.get(unit)
                     if c is None:
-                        counts[k] = known[int(distinct[k])] = count_unit(data[starts[one[k]] : ends[one[k]]].decode(), rank)
+                        c = count_unit(unit.decode(), rank)
+                        if e - s <= KEPT_BYTES:
+                            known[unit] = c
+                    counts.append(c)
                 total = np.zeros(len(hashes) + 1, dtype=np.int64)
                 np.cumsum(np.array(counts, dtype=np.int64)[which], out=total[1:])
                 n_tokens.append(np.diff(total[rows]))

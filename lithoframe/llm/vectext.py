@@ -2,7 +2,7 @@
 
 Spark deals out the rows; these helpers turn the string column of one Arrow
 batch into numpy arrays (no Python string per row) and give word boundaries and
-64-bit word hashes for all rows of a slice at once. Slices hold a few megabytes
+word hashes for all rows of a slice at once. Slices hold a few megabytes
 of text, so memory does not follow the batch size; one very long text is a
 slice of its own and its words are hashed in chunks.
 """
@@ -38,18 +38,28 @@ def mix_int(x: int) -> int:
     return int(mix64(np.array([x & (1 << 64) - 1], dtype=np.uint64))[0])
 
 
-def _table(fold: bool) -> np.ndarray:
-    values = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    if fold:
-        values[65:91] = values[97:123]
-    return values
-
-
-FOLDED, PLAIN = _table(True), _table(False)
+#: The values of bytes in span hashes; FOLDED takes A-Z as a-z.
+PLAIN = np.arange(1, 257, dtype=np.uint64)
+FOLDED = PLAIN.copy()
+FOLDED[65:91] = PLAIN[97:123]
+#: Bytes with A-Z as a-z.
+LOWER = (FOLDED - np.uint64(1)).astype(np.uint8)
+PRIME = np.uint64((1 << 61) - 1)
+#: The point at which span hashes are taken, drawn at random.
+_SEED = 0x0B5D2C9E71F3A846
+_S1, _S29, _S30, _S31, _S32, _S61 = (np.uint64(k) for k in (1, 29, 30, 31, 32, 61))
+_LOW29, _LOW30, _LOW31, _LOW32 = (np.uint64((1 << k) - 1) for k in (29, 30, 31, 32))
+#: The values of bytes in the rolling sums of ``POWERS``.
+ROLLING = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 class Powers:
-    """Powers of the hash base and of its inverse modulo 2**64, grown on demand."""
+    """Powers of a base and of its inverse modulo 2**64, grown on demand.
+
+    Sums of these are cheap but differ too little on structured texts (Thue-Morse
+    words), so they only choose places (triggers) and candidates whose bytes are
+    compared; what counts as equal is never read off them.
+    """
 
     def __init__(self) -> None:
         self.up = self.down = np.ones(1, dtype=np.uint64)
@@ -122,22 +132,94 @@ def spans(raw: np.ndarray, at: np.ndarray, inside: np.ndarray) -> tuple[np.ndarr
     return starts, np.flatnonzero(mask & ~after) + 1, np.searchsorted(starts, at)
 
 
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo PRIME, of numbers below PRIME."""
+    a1, a0, b1, b0 = a >> _S31, a & _LOW31, b >> _S31, b & _LOW31
+    mid = a1 * b0 + a0 * b1
+    return reduced((a1 * b1 << _S1) + (mid >> _S30) + ((mid & _LOW30) << _S31) + a0 * b0)
+
+
+def reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME = 2**61 - 1."""
+    x = (x & PRIME) + (x >> _S61)
+    return np.where(x >= PRIME, x - PRIME, x)
+
+
+class PrimePowers:
+    """Powers of a base modulo PRIME, cut into 32-bit halves, and of its inverse; grown on demand."""
+
+    def __init__(self) -> None:
+        self.low = self.high = self.down = np.zeros(0, dtype=np.uint64)
+
+    def need(self, n: int) -> None:
+        if len(self.low) < n:
+            up, self.down = (_powers(b, max(n, SLICE_BYTES + 4096)) for b in (_SEED, pow(_SEED, -1, int(PRIME))))
+            self.low, self.high = up & _LOW32, up >> _S32
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.ones(1, dtype=np.uint64)
+    while len(out) < n:
+        out = np.concatenate([out, times(out, np.uint64(pow(base, len(out), int(PRIME))))])
+    return out[:n]
+
+
+PRIME_POWERS = PrimePowers()
+
+
+def _polynomials(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The value modulo PRIME of each span within ``raw`` of at most SLICE_BYTES."""
+    PRIME_POWERS.need(len(raw) + 1)
+    value = table[raw]
+    low, high = np.zeros(len(raw) + 1, dtype=np.uint64), np.zeros(len(raw) + 1, dtype=np.uint64)
+    np.cumsum(value * PRIME_POWERS.low[: len(raw)], out=low[1:])  # sums stay below 2**61: 9 bits of value, 32 of power, 20 of length
+    np.cumsum(value * PRIME_POWERS.high[: len(raw)], out=high[1:])
+    high = high[ends] - high[starts]
+    total = (low[ends] - low[starts]) + ((high & _LOW29) << _S32) + (high >> _S29)
+    return times(reduced(total), PRIME_POWERS.down[starts])
+
+
 def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray = FOLDED) -> np.ndarray:
-    """A 64-bit hash of each span, from prefix sums of a polynomial; spans are sorted by start and don't overlap."""
+    """A 61-bit hash of each span, spread over 64 bits; spans are sorted by start and don't overlap.
+
+    It is a polynomial of the bytes at a point drawn at random, modulo a prime: two
+    spans of at most n bytes are alike with a chance below n / 2**61, whatever their
+    structure. Longer stretches are hashed piece by piece, so memory is bounded.
+    """
     out = np.empty(len(starts), dtype=np.uint64)
     k = 0
     while k < len(starts):
         lo = starts[k]
         e = max(k + 1, int(np.searchsorted(ends, lo + SLICE_BYTES, side="right")))
-        hi = ends[e - 1]
-        POWERS.need(hi - lo + 1)
-        sums = np.empty(hi - lo + 1, dtype=np.uint64)
-        sums[0] = 0
-        np.cumsum(table[raw[lo:hi]] * POWERS.up[: hi - lo], out=sums[1:])
-        s, t = starts[k:e] - lo, ends[k:e] - lo
-        out[k:e] = mix64((sums[t] - sums[s]) * POWERS.down[s] + (t - s).astype(np.uint64))
+        if ends[e - 1] - lo <= SLICE_BYTES:
+            out[k:e] = _polynomials(raw[lo : ends[e - 1]], starts[k:e] - lo, ends[k:e] - lo, table)
+        else:  # one very long span
+            total = np.zeros(1, dtype=np.uint64)
+            for c, p in enumerate(range(int(lo), int(ends[k]), SLICE_BYTES)):
+                part = raw[p : min(p + SLICE_BYTES, int(ends[k]))]
+                one = _polynomials(part, np.zeros(1, np.int64), np.array([len(part)]), table)
+                total = reduced(total + times(one, np.array([pow(_SEED, c * SLICE_BYTES, int(PRIME))], dtype=np.uint64)))
+            out[k:e] = total
         k = e
-    return out
+    return mix64(out ^ (ends - starts).astype(np.uint64) * _M1)
+
+
+def same_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, others: np.ndarray) -> bool:
+    """Whether each span has the bytes of the equally long span that starts at ``others``; compared in bounded steps."""
+    size = ends - starts
+    k = 0
+    upto = np.cumsum(size)
+    while k < len(starts):
+        e = max(k + 1, int(np.searchsorted(upto, (upto[k - 1] if k else 0) + SLICE_BYTES, side="right")))
+        if e == k + 1:
+            if not np.array_equal(raw[starts[k] : ends[k]], raw[others[k] : others[k] + size[k]]):
+                return False
+        else:
+            step = np.arange(int(size[k:e].sum())) - np.repeat(np.cumsum(size[k:e]) - size[k:e], size[k:e])
+            if not np.array_equal(raw[np.repeat(starts[k:e], size[k:e]) + step], raw[np.repeat(others[k:e], size[k:e]) + step]):
+                return False
+        k = e
+    return True
 
 
 def words(raw: np.ndarray, at: np.ndarray, inside: np.ndarray, table: np.ndarray = FOLDED) -> tuple[np.ndarray, np.ndarray]:
