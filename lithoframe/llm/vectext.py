@@ -168,11 +168,13 @@ PRIME_POWERS = PrimePowers()
 
 
 def _polynomials(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """The value modulo PRIME of each span within ``raw`` of at most SLICE_BYTES."""
+    """The value modulo PRIME of each span within ``raw`` of at most 2 * SLICE_BYTES."""
+    if len(raw) > 2 * SLICE_BYTES:
+        raise ValueError("the sums of longer stretches don't fit")
     PRIME_POWERS.need(len(raw) + 1)
     value = table[raw]
     low, high = np.zeros(len(raw) + 1, dtype=np.uint64), np.zeros(len(raw) + 1, dtype=np.uint64)
-    np.cumsum(value * PRIME_POWERS.low[: len(raw)], out=low[1:])  # sums stay below 2**61: 9 bits of value, 32 of power, 20 of length
+    np.cumsum(value * PRIME_POWERS.low[: len(raw)], out=low[1:])  # sums stay below 2**62: 9 bits of value, 32 of power, 21 of length
     np.cumsum(value * PRIME_POWERS.high[: len(raw)], out=high[1:])
     high = high[ends] - high[starts]
     total = (low[ends] - low[starts]) + ((high & _LOW29) << _S32) + (high >> _S29)
@@ -204,6 +206,11 @@ def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np
     return mix64(out ^ (ends - starts).astype(np.uint64) * _M1)
 
 
+def stretch_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes, of the same kind, of any stretches of at most SLICE_BYTES bytes of text; they may overlap."""
+    return mix64(_polynomials(raw, starts, ends, PLAIN) ^ (ends - starts).astype(np.uint64) * _M1)
+
+
 def same_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, others: np.ndarray) -> bool:
     """Whether each span has the bytes of the equally long span that starts at ``others``; compared in bounded steps."""
     size = ends - starts
