@@ -81,7 +81,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_findings(docs, carry=["doc_id"])
     count = lambda kind: F.size(F.filter("findings", lambda x: x["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
     base = F.filter("findings", lambda x: x["kind"] != "owned")
-    return found.select("doc_id", *map(count, ("assign", "access", "hex")), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("findings")).alias("spans"))
+    return found.select("doc_id", *map(count, ("assign", "access", "hex")), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("findings")).alias("spans"), *(F.size(F.filter("findings", lambda x, v=v: x["verdict"] == v)).cast("bigint").alias(f"n_{v}") for v in ("live", "example")))
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,7 +104,20 @@ ENTRIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+_SHINGLES = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+
 SQL: dict[str, str] = {
+    "op1_near_dedup": f"""
+        WITH RECURSIVE d AS (SELECT row_number() OVER () AS n, doc_id, {_SHINGLES} AS w FROM documents),
+        s AS (SELECT n, doc_id, list_sort(CASE WHEN len(w) < 2 THEN w ELSE list_distinct(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1])) END) AS g FROM d),
+        c AS (SELECT row_number() OVER () AS c, g, len(g) AS m, min(doc_id) AS rep FROM s WHERE len(g) > 0 GROUP BY g),
+        x AS (SELECT c, m, unnest(g) AS h FROM c),
+        l AS (SELECT a.c AS a, b.c AS b FROM x a JOIN x b ON a.h = b.h AND a.c < b.c AND 100 * least(a.m, b.m) >= 80 * greatest(a.m, b.m) GROUP BY a.c, b.c, a.m, b.m HAVING 100 * count(*) >= 80 * (a.m + b.m - count(*))),
+        e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+        r AS (SELECT c AS a, c AS b FROM c UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+        k AS (SELECT r.a AS c, min(c.rep) AS component_id FROM r JOIN c ON r.b = c.c GROUP BY r.a)
+        SELECT s.doc_id, len(s.g) AS n_shingles, coalesce(k.component_id, s.doc_id) AS component_id, coalesce(k.component_id, s.doc_id) = s.doc_id AS kept
+        FROM s LEFT JOIN c ON s.g = c.g AND len(s.g) > 0 LEFT JOIN k ON c.c = k.c""",
     "op2_topk_search": """
         WITH v AS (
             SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings

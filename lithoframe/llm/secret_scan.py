@@ -6,7 +6,8 @@ ids) and ``hex`` (long hexadecimal runs). The corpus adds what one text can't te
 Candidate strings (base values, and ``owned`` candidates: long runs of letters and
 digits mixed) are hashed, and for each hash the distinct repositories and owners
 that hold it are counted over all documents. A string that more than
-``max_repositories`` repositories or owners hold is a widely copied ``example``;
+``max_repositories`` repositories or owners hold is a widely copied ``example`` (so a
+document mirrored in a second place keeps its secrets);
 one that belongs to few and isn't a placeholder is ``live``. ``owned`` candidates
 become findings only if they are live and overlap no base finding; base findings
 always stay and carry their verdict.
@@ -21,10 +22,12 @@ Repeated rows are judged each for itself. Columns of the input that clash with
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import materialize, small
 
 #: name, pattern, group of the value, least length of the value, in the order of listing.
 BASE = (
@@ -36,35 +39,75 @@ OWNED = ("owned", r"[A-Za-z0-9+/_=-]{24,}", 0, 24)
 _MIXED = r"^(?=(?:[^0-9]*[0-9]){3})(?=(?:[^A-Za-z]*[A-Za-z]){3})"
 _PLACEHOLDER = r"(?i)example|changeme|placeholder|your_|xxxx|0123456789|(.)\1{7}"
 _KINDS = [k[0] for k in (*BASE, OWNED)]
-_FOUND = "array<struct<start:int,kind:int,end:int,hash:bigint,plain:boolean>>"
+_ROW = "struct<start:int,kind:int,end:int,hash:bigint,plain:boolean>"
+_FOUND = f"array<{_ROW}>"
+#: Rows folded at a time, code points of a block of text, and counts that may be broadcast.
+RUN, BLOCK, BROADCAST_ROWS = 64, 1024, 200_000
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _running(rows: Column, total: Callable[[Column, Column], Column], emit: Callable[[Column, Column], Column], kind: str, zero: int = 0) -> Column:
+    """emit(state, row) for every row of an array; the state of a row is ``total`` folded over all rows before it.
+
+    An aggregate that appends copies what it has, so rows are folded in chunks of
+    ``RUN``: first one state for each chunk, then inside each. The work is linear but for
+    rows / RUN squared.
+    """
+
+    def of_rows(r: Column) -> Column:
+        chunks = F.when(F.size(r) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(r) - 1) / RUN).cast("int")), lambda j: F.slice(r, j * RUN + 1, F.lit(RUN)))).otherwise(F.slice(F.array(r), 1, 0))
+        return _let(chunks, of_chunks)
+
+    def of_chunks(chunks: Column) -> Column:
+        inner = F.transform(chunks, lambda c: F.aggregate(c, F.lit(zero), total))
+        empty = F.struct(F.lit(zero).alias("at"), F.array().cast("array<int>").alias("out"))
+        # a chunk's fold starts at zero, so states add or take the greater, as total does for whole rows
+        before = F.aggregate(inner, empty, lambda acc, t: F.struct((acc["at"] + t if total is _ends_sum else F.greatest(acc["at"], t)).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+        none = F.array().cast(f"array<{kind}>")
+
+        def inside(c: Column, first: Column) -> Column:
+            start = F.struct(first.alias("at"), none.alias("out"))
+            return F.aggregate(c, start, lambda acc, x: F.struct(total(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(emit(acc["at"], x))).alias("out")), lambda acc: acc["out"])
+
+        return F.flatten(F.zip_with(chunks, before, inside))
+
+    return _let(rows, of_rows)
+
+
+def _ends_sum(at: Column, x: Column) -> Column:
+    return at + F.length(x["gap"]) + F.length(x["whole"])
+
+
+def _ends_most(at: Column, x: Column) -> Column:
+    return F.greatest(at, x["end"])
 
 
 def _matches(text: Column, kind: int, pattern: str, group: int, least: int) -> Column:
     """All matches of one kind as (start, kind, end, hash of the value, whether it looks like a placeholder)."""
     pieces = F.split(text, pattern, -1)
     whole, value = (F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in (0, group))
-    rows = F.arrays_zip(F.slice(pieces, F.lit(1), F.size(whole)).alias("gap"), whole.alias("whole"), value.alias("value"))
+    rows = _let(whole, lambda w: F.arrays_zip(F.slice(pieces, F.lit(1), F.size(w)).alias("gap"), w.alias("whole"), (value if group else w).alias("value")))
 
-    def add(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["whole"])
-        one = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), F.xxhash64(x["value"]).alias("hash"), F.rlike(x["value"], F.lit(_PLACEHOLDER)).alias("plain"))
+    def one(at: Column, x: Column) -> Column:
+        start = at + F.length(x["gap"])
         keep = F.length(x["value"]) >= least
         if kind == len(BASE):
             keep &= F.rlike(x["value"], F.lit(_MIXED))
-        return F.struct(end.alias("at"), F.when(keep, F.concat(acc["out"], F.array(one))).otherwise(acc["out"]).alias("out"))
+        found = F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + F.length(x["whole"])).alias("end"), F.xxhash64(x["value"]).alias("hash"), F.rlike(x["value"], F.lit(_PLACEHOLDER)).alias("plain"))
+        return F.when(keep, found)
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_FOUND).alias("out"))
-    return F.when(F.size(pieces) > 1, F.aggregate(rows, start, add, lambda acc: acc["out"])).otherwise(F.array().cast(_FOUND))
+    found = F.filter(_running(rows, _ends_sum, one, _ROW), lambda x: x.isNotNull())
+    return F.when(F.rlike(text, F.lit(pattern)), found).otherwise(F.array().cast(_FOUND))
 
 
 def scan(docs: DataFrame, *, text_col: str = "text", carry: list[str]) -> DataFrame:
-    """``carry`` plus base and owned: all matches by pattern alone."""
+    """``carry`` plus __found: all matches by pattern alone."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    base = F.concat(*[_matches(text, k, *kind[1:]) for k, kind in enumerate(BASE)])
-    found = docs.select(*carry, base.alias("__base"), _matches(text, len(BASE), *OWNED[1:]).alias("__owned"))
-    apart = F.filter("__owned", lambda x: ~F.exists("__base", lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])))
-    return found.withColumn("__owned", F.when(F.size("__owned") > 0, apart).otherwise(F.col("__owned")))
+    return docs.select(*carry, F.concat(*[_matches(text, k, *kind[1:]) for k, kind in enumerate((*BASE, OWNED))]).alias("__found"))
 
 
 def ownership(candidates: DataFrame) -> DataFrame:
@@ -73,22 +116,29 @@ def ownership(candidates: DataFrame) -> DataFrame:
     return distinct.groupBy("hash").agg(F.count_distinct("repository").alias("n_repositories"), F.count_distinct("owner").alias("n_owners"))
 
 
-def secret_findings(docs: DataFrame, *, text_col: str = "text", repository_col: str = "source", owner_col: str = "source", carry: list[str] | None = None, max_repositories: int = 1) -> DataFrame:
+def secret_findings(docs: DataFrame, *, text_col: str = "text", repository_col: str = "source", owner_col: str = "source", carry: list[str] | None = None, max_repositories: int = 2) -> DataFrame:
     """``carry`` (all columns if None) plus findings: array of (start, kind, end, n_repositories, n_owners, verdict), by start, then kind."""
     carry = [c for c in (docs.columns if carry is None else carry) if c != "findings"]
     own = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*carry, text_col])], F.col(repository_col).cast("string").alias("__repository"), F.col(owner_col).cast("string").alias("__owner"))
     scanned = scan(own, text_col=text_col, carry=[*carry, "__repository", "__owner"])
     scanned = materialize(scanned.withColumn("__row", F.monotonically_increasing_id()), "secrets")  # the row numbers are fixed once written
-    some = scanned.filter((F.size("__base") > 0) | (F.size("__owned") > 0))
-    rows = some.select("__row", "__repository", "__owner", F.explode(F.concat("__base", "__owned")).alias("f")).select("__row", F.col("__repository").alias("repository"), F.col("__owner").alias("owner"), "f.*")
+    some = scanned.filter(F.size("__found") > 0)
+    rows = some.select("__row", F.col("__repository").alias("repository"), F.col("__owner").alias("owner"), F.explode("__found").alias("f")).select("__row", "repository", "owner", "f.*")
+    # owned candidates that overlap no base match: neither one before that ends later nor one behind that starts earlier
+    base = F.col("kind") < len(BASE)
+    # (both frames begin unbounded: those that end so cost the square of their rows)
+    up, down = (Window.partitionBy("__row").orderBy(*o).rowsBetween(Window.unboundedPreceding, -1) for o in (("start", "kind"), (F.desc("start"), F.desc("kind"))))
+    before, behind = F.max(F.when(base, F.col("end"))).over(up), F.min(F.when(base, F.col("start"))).over(down)
+    rows = rows.withColumn("apart", base | ((F.coalesce(before, F.lit(0)) <= F.col("start")) & (behind.isNull() | (behind >= F.col("end")))))
+    rows = materialize(rows.filter("apart").drop("apart"), "candidates")
     counts = ownership(rows.select("hash", "repository", "owner"))
     live = (F.col("n_repositories") <= max_repositories) & (F.col("n_owners") <= max_repositories) & ~F.col("plain")
-    judged = rows.join(counts, "hash").withColumn("verdict", F.when(live, "live").otherwise("example")).filter((F.col("kind") < len(BASE)) | (F.col("verdict") == "live"))
+    judged = rows.join(small(materialize(counts, "owners"), BROADCAST_ROWS), "hash").withColumn("verdict", F.when(live, "live").otherwise("example")).filter((F.col("kind") < len(BASE)) | (F.col("verdict") == "live"))
     names = F.array(*map(F.lit, _KINDS))
     listed = judged.groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "n_repositories", "n_owners", "verdict"))).alias("findings"))
     named = F.transform("findings", lambda x: F.struct(x["start"].alias("start"), F.element_at(names, x["kind"] + 1).alias("kind"), x["end"].alias("end"), x["n_repositories"].alias("n_repositories"), x["n_owners"].alias("n_owners"), x["verdict"].alias("verdict")))
     full = some.select(*carry, "__row").join(listed, "__row", "left").select(*carry, F.coalesce(named, F.array().cast(_NAMED)).alias("findings"))
-    none = scanned.filter((F.size("__base") == 0) & (F.size("__owned") == 0)).select(*carry, F.array().cast(_NAMED).alias("findings"))
+    none = scanned.filter(F.size("__found") == 0).select(*carry, F.array().cast(_NAMED).alias("findings"))
     return none.unionByName(full)
 
 
@@ -102,12 +152,18 @@ def joined(findings: Column) -> Column:
 
 def redact(text: Column, findings: Column, mark: str = "[SECRET]") -> Column:
     """The text with every found stretch replaced; overlapping findings become one mark."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    # blocks of the text, so that a stretch is cut out without walking to it from the start
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+    def stretch(b: Column, start: Column, end: Column) -> Column:
+        first, last = F.floor(start / BLOCK).cast("int"), F.floor((end - 1) / BLOCK).cast("int")
+        within = F.substring(F.element_at(b, first + 1), start % BLOCK + 1, end - start)
+        across = F.concat(F.substring(F.element_at(b, first + 1), start % BLOCK + 1, F.lit(BLOCK)), F.array_join(F.slice(b, first + 2, last - first - 1), ""), F.substring(F.element_at(b, last + 1), F.lit(1), (end - 1) % BLOCK + 1))
+        return F.when(end <= start, F.lit("")).when(first == last, within).otherwise(across)
 
-    def add(acc: Column, x: Column) -> Column:
-        new = x["start"] >= acc["at"]
-        out = F.when(new, F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), out.alias("out"))
+    def of_blocks(b: Column) -> Column:
+        piece = lambda at, x: F.when(x["start"] >= at, F.concat(stretch(b, at, x["start"]), F.lit(mark))).otherwise(F.lit(""))
+        rest = _let(F.aggregate(findings, F.lit(0), _ends_most), lambda at: stretch(b, at, F.length(text)))
+        return F.concat(F.array_join(_running(findings, _ends_most, piece, "string"), ""), rest)
 
-    done = F.aggregate(findings, start, add, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return F.when(F.size(findings) > 0, done).otherwise(text)
+    return F.when(F.size(findings) > 0, _let(blocks, of_blocks)).otherwise(text)

@@ -3,7 +3,8 @@
 Vectors become integers, floor(scale * x), and a score is an integer inner product,
 so results are exact and ties are real. Queries and candidates are dealt over a grid
 of cells of bounded size (a cell holds about ``CELL_QUERIES`` queries and
-``CELL_VECTORS`` candidates); all scores of a cell come from one matrix product.
+``CELL_VECTORS`` candidates); the scores of a cell come from matrix products over ``STEP`` candidates at a time. Every
+pass sends a candidate to n_queries / CELL_QUERIES cells.
 
 1. Every round scores everything and counts, for each query, how many scores fall
    into each of ``BINS`` bins of the interval that holds its k-th highest score; a
@@ -15,22 +16,25 @@ of cells of bounded size (a cell holds about ``CELL_QUERIES`` queries and
 
 Rows whose vector or id is null, or whose vector holds a null or non-finite
 component, take no part. Vectors of unequal length are compared as if the shorter
-ended in zeros. Repeated rows each take part; a query leaves out its own row only.
+ended in zeros. A score that doesn't fit 64 bits is an error. Repeated rows each take part; a query leaves out its own row only.
 Fewer candidates than k give fewer rows, empty tables none.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import materialize, release
 
-CELL_QUERIES, CELL_VECTORS, BINS = 512, 1024, 4096
+#: Queries and candidates of a cell, candidates that it scores at a time, and bins of an interval.
+CELL_QUERIES, CELL_VECTORS, STEP, BINS = 1024, 16_384, 2048, 4096
 
 
 def _matrix(t: pa.Table, dim: int) -> np.ndarray:
@@ -41,33 +45,45 @@ def _matrix(t: pa.Table, dim: int) -> np.ndarray:
     return out
 
 
-def _scores(q: pa.Table, c: pa.Table) -> np.ndarray:
-    """The integer scores of all pairs; a query's own row gets the least integer."""
+def _scores(q: pa.Table, c: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+    """The integer scores of all queries with ``STEP`` candidates at a time, and the first one's place; a query's own row gets the least integer."""
     dim = max(1, *(max((len(v.as_buffer()) // 8 for v in t["v"]), default=0) for t in (q, c)))
     x, y = _matrix(q, dim), _matrix(c, dim)
-    if float(np.abs(x).max(initial=0)) * float(np.abs(y).max(initial=0)) * dim < 2**53:
-        s = (x @ y.T).astype(np.int64)  # every partial sum is an integer that a double holds
-    else:
-        s = x.astype(np.int64) @ y.astype(np.int64).T
-    s[q["row"].to_numpy()[:, None] == c["row"].to_numpy()[None, :]] = np.iinfo(np.int64).min
-    return s
+    q_rows, c_rows = q["row"].to_numpy(), c["row"].to_numpy()
+    exact = float(np.abs(x).max(initial=0)) * float(np.abs(y).max(initial=0)) * dim < 2**53
+    for lo in range(0, len(y), STEP):
+        s, own = x @ y[lo : lo + STEP].T, q_rows[:, None] == c_rows[None, lo : lo + STEP]
+        if not exact:  # a double doesn't hold every partial sum; integers do, if the score fits at all
+            if float(np.abs(s[~own]).max(initial=0)) >= 2.0**63 * (1 - 1e-9):
+                raise OverflowError("a score doesn't fit 64 bits")
+            s = x.astype(np.int64) @ y[lo : lo + STEP].astype(np.int64).T
+        s = s.astype(np.int64)
+        s[own] = np.iinfo(np.int64).min
+        yield lo, s
+
+
+def _above(own: np.ndarray, low: int) -> np.ndarray:
+    """own - low of numbers not below ``low``; the difference may need all 64 bits."""
+    return own.view(np.uint64) - np.array([low], dtype=np.int64).view(np.uint64)
 
 
 def _histogram(k: int):
     def run(q: pa.Table, c: pa.Table) -> pa.Table:
         rows, bins, counts = [], [], []
         if len(q) and len(c):
-            s = _scores(q, c)
             low, width, above = (q[n].to_numpy() for n in ("low", "width", "above"))
+            best: list[np.ndarray] = [np.zeros(0, np.int64)] * len(q)
+            for _, s in _scores(q, c):
+                for i in range(len(q)):
+                    own = s[i]
+                    inside = own[(own >= low[i]) & (own > np.iinfo(np.int64).min)]
+                    inside = np.concatenate([best[i], inside[_above(inside, low[i]) // np.uint64(width[i]) < BINS]])
+                    want = k - int(above[i])
+                    best[i] = np.partition(inside, len(inside) - want)[len(inside) - want :] if len(inside) > want else inside
             for i, row in enumerate(q["row"].to_pylist()):
-                own = s[i]
-                inside = own[(own >= low[i]) & (own < low[i] + BINS * width[i]) & (own > np.iinfo(np.int64).min)]
-                want = k - int(above[i])
-                if len(inside) > want:
-                    inside = np.partition(inside, len(inside) - want)[len(inside) - want :]
-                b, n = np.unique((inside - low[i]) // width[i], return_counts=True)
+                b, n = np.unique(_above(best[i], low[i]) // np.uint64(width[i]), return_counts=True)
                 rows += [row] * len(b)
-                bins.append(b)
+                bins.append(b.astype(np.int64))
                 counts.append(n)
         flat = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
         return pa.table({"row": pa.array(rows, pa.int64()), "bin": flat(bins), "n": flat(counts)})
@@ -79,15 +95,16 @@ def _winners(k: int):
     def run(q: pa.Table, c: pa.Table) -> pa.Table:
         out: list[list] = [[], [], [], []]
         if len(q) and len(c):
-            s = _scores(q, c)
             low, above, ids, own_rows = q["low"].to_numpy(), q["above"].to_numpy(), c["vec_id"].to_numpy(), c["row"].to_numpy()
-            order = np.lexsort((own_rows, ids))
-            for i, row in enumerate(q["row"].to_pylist()):
-                over = np.flatnonzero((s[i] > low[i]) & (s[i] > np.iinfo(np.int64).min))
-                same = order[s[i][order] == low[i]][: k - int(above[i])]
-                for j in np.concatenate([over, same]).tolist():
-                    for column, value in zip(out, (row, int(ids[j]), int(own_rows[j]), int(s[i][j])), strict=True):
-                        column.append(value)
+            for lo, s in _scores(q, c):
+                here, rows_here = ids[lo : lo + STEP], own_rows[lo : lo + STEP]
+                order = np.lexsort((rows_here, here))
+                for i, row in enumerate(q["row"].to_pylist()):
+                    over = np.flatnonzero((s[i] > low[i]) & (s[i] > np.iinfo(np.int64).min))
+                    same = order[s[i][order] == low[i]][: k - int(above[i])]
+                    for j in np.concatenate([over, same]).tolist():
+                        for column, value in zip(out, (row, int(here[j]), int(rows_here[j]), int(s[i][j])), strict=True):
+                            column.append(value)
         return pa.table(dict(zip(("row", "vec_id", "other", "score"), (pa.array(x, pa.int64()) for x in out), strict=True)))
 
     return run
@@ -109,13 +126,17 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, *, id_col: str = "ve
 
     def pack(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.array(x, dtype=np.float64).tobytes() for x in batch.column(1).to_pylist()], pa.binary())], names=["vec_id", "v"])
+            x = batch.column(1)
+            flat = np.ascontiguousarray(x.flatten().to_numpy(zero_copy_only=False), dtype=np.float64)
+            ends = (np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False))]) * 8).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(flat.tobytes())])], names=["vec_id", "v"])
 
     packed = own.mapInArrow(pack, "vec_id bigint, v binary").withColumn("row", F.monotonically_increasing_id())
-    peak = own.select(F.array_max(F.transform("x", F.abs)).alias("m"), F.size("x").alias("d")).agg(F.max("m"), F.max("d")).first()
+    peak = own.agg(F.max(F.aggregate("x", F.lit(0.0), lambda n, c: n + c * c))).first()[0]
     rows = materialize(packed, "vectors")
     n_vectors, n_queries = rows.count(), rows.filter(is_query).count()
-    bound = int(peak[0] or 0) ** 2 * int(peak[1] or 1) + 1  # all scores lie between -bound and bound
+    # no product is larger than the square of the greatest norm, and none that counts than 64 bits hold
+    bound = min(int((peak or 0.0) * (1 + 1e-9)) + 1, 2**63 - 1)
     width = 1
     while width * BINS < 2 * bound + 1:
         width *= BINS
@@ -127,7 +148,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, *, id_col: str = "ve
         ranked = counts.withColumn("upto", upto).join(queries.select("row", "above"), "row").filter("above + upto - n < " + str(k))
         # the lowest bin that is still needed holds the k-th score, or the last one if there are fewer
         kth = ranked.groupBy("row").agg(F.min("bin").alias("bin"), F.max(F.col("above") + F.col("upto")).alias("total"), F.min_by("n", "bin").alias("n"))
-        step = queries.join(kth, "row").select("row", "vec_id", "v", (F.col("low") + F.col("bin") * F.col("width")).alias("low"), F.greatest(F.lit(1), F.expr(f"width div {BINS}")).alias("width"), (F.col("total") - F.col("n")).alias("above"))
+        step = queries.join(kth, "row").select("row", "vec_id", "v", (F.col("low").cast("decimal(20,0)") + F.col("bin").cast("decimal(4,0)") * F.col("width").cast("decimal(19,0)")).cast("bigint").alias("low"), F.greatest(F.lit(1), F.expr(f"width div {BINS}")).alias("width"), (F.col("total") - F.col("n")).alias("above"))
         queries = materialize(step, "queries")
         states.append(queries)
         if width == 1:

@@ -59,7 +59,7 @@ RULES = (Rule.of("block", "com/en/"), Rule.of("allow", "example.com/en/7"), Rule
 def url_parts(url: Column) -> tuple[Column, Column]:
     """Host (A-Z lower-cased) and path of a url; both empty for a null and without ``://``."""
     at = F.instr(url, "://")
-    rest = F.when(at > 0, F.expr("substring(__url, instr(__url, '://') + 3)")).otherwise("")
+    rest = F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise("")
     rest = F.coalesce(rest, F.lit(""))
     host = F.translate(F.regexp_extract(rest, r"^([^/?#]*)", 1), string.ascii_uppercase, string.ascii_lowercase)
     return host, F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
