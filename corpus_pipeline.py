@@ -2,8 +2,13 @@
 
 ``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir) and
 returns a DataFrame, which ``run`` writes as Parquet in the shared folder and reads
-back as the next stage's documents. All stages but the last return the columns of
-documents.
+back as the next stage's documents; what a stage wrote on its way is then deleted. All
+stages but the last return the columns of documents.
+
+Columns that clash or are too many are left behind by the first step of every stage. A
+null text is an empty one to every stage: it is judged by its other statistics, is no
+copy, holds no window and no secret, and has no tokens; the last stage's ids are then
+empty. A null id is kept like any other, rows that repeat are copies of each other.
 """
 
 from __future__ import annotations
@@ -17,7 +22,7 @@ from lithoframe.llm.piece_viterbi import encode
 from lithoframe.llm.quality import fit_quality, quality_scores
 from lithoframe.llm.queries import model_path
 from lithoframe.llm.secret_scan import redact, secret_findings
-from lithoframe.llm.shared import materialize, release, table
+from lithoframe.llm.shared import materialize, release_all, table
 
 #: Columns of documents, with their types.
 COLUMNS = {"doc_id": "bigint", "text": "string", "lang": "string", "source": "string", "n_chars": "bigint"}
@@ -65,10 +70,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    before = None
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
-        if before is not None:
-            release([before])
-        before = docs
+        release_all(spark, keep=[docs])
     return docs
