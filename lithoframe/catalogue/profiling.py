@@ -148,7 +148,7 @@ def table_priorities(spark, d):
     return df.select("table_name", score.alias("priority"), role.alias("role"))
 
 
-@add("SELECT table_name, logical_type, count(*) AS n FROM (VALUES ('nation', 'INTEGER'), ('nation', 'TEXT'), ('nation', 'INTEGER'), ('region', 'INTEGER'), ('region', 'TEXT'), ('events', 'INTEGER'), ('events', 'DATETIME'), ('events', 'INTEGER'), ('events', 'TEXT'), ('events', 'DECIMAL'), ('events', 'TEXT'), ('embeddings', 'INTEGER'), ('embeddings', 'OTHER'), ('embeddings', 'INTEGER')) t(table_name, logical_type) GROUP BY ALL")
+@add("SELECT table_name, CASE WHEN data_type IN ('INTEGER', 'BIGINT') THEN 'INTEGER' WHEN data_type IN ('FLOAT', 'DOUBLE') THEN 'DECIMAL' WHEN data_type = 'VARCHAR' THEN 'TEXT' WHEN data_type LIKE 'TIMESTAMP%' THEN 'DATETIME' ELSE 'OTHER' END AS logical_type, count(*) AS n FROM duckdb_columns() WHERE table_name IN ('nation', 'region', 'events', 'embeddings') GROUP BY ALL")
 def catalog_types(spark, d):
     return catalog_columns(spark, {n: table(spark, d, n) for n in ("nation", "region", "events", "embeddings")}).groupBy("table_name", "logical_type").agg(F.count(F.lit(1)).alias("n"))
 

@@ -37,7 +37,7 @@ tok AS (SELECT doc_id, len(ts) AS length, unnest(ts) AS term FROM terms),
 tf AS (SELECT doc_id, term, length, count(*) AS tf FROM tok WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
 part AS (SELECT doc_id, tf.term, ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * length / mean)) AS part FROM tf JOIN df ON tf.term = df.term, size),
-scores AS (SELECT item_id AS query_id, doc_id, sum(part) AS score FROM asked JOIN part ON asked.term = part.term GROUP BY ALL),
+scores AS (SELECT item_id AS query_id, doc_id, round(sum(part), 9) AS score FROM asked JOIN part ON asked.term = part.term GROUP BY ALL),
 ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS place FROM scores)
 """
 
@@ -49,7 +49,7 @@ def bm25_topk(spark, d):
 
 
 #: The same over every item; copies of a text tie, as in the operator.
-_BM25_ALL = _BM25.replace(" WHERE item_id < 5", "").replace("sum(part) AS score", "round(sum(part), 9) AS score")
+_BM25_ALL = _BM25.replace(" WHERE item_id < 5", "")
 
 
 @add(f"WITH {_BM25_ALL} SELECT query_id, doc_id, round(score, 6) AS score, place FROM ranked WHERE place <= 10")
@@ -72,17 +72,28 @@ def shortest_fk_path(spark, d):
     return shortest_paths(spark, spark.createDataFrame(_EDGES, "a string, b string"), "lineitem", 6)
 
 
-@add("SELECT * FROM (VALUES ('customer', 'c_nationkey', 'nation', 'n_nationkey', 'MANY_TO_ONE', 100), ('supplier', 's_nationkey', 'nation', 'n_nationkey', 'MANY_TO_ONE', 100), ('nation', 'n_regionkey', 'region', 'r_regionkey', 'MANY_TO_ONE', 100), ('orders', 'o_custkey', 'customer', 'c_custkey', 'MANY_TO_ONE', 100), ('lineitem', 'l_orderkey', 'orders', 'o_orderkey', 'MANY_TO_ONE', 100), ('lineitem', 'l_partkey', 'part', 'p_partkey', 'MANY_TO_ONE', 100), ('lineitem', 'l_suppkey', 'supplier', 's_suppkey', 'MANY_TO_ONE', 100)) t(from_table_name, from_column_name, to_table_name, to_column_name, cardinality, score)")
+_KEYED = {"region": ["r_regionkey"], "nation": ["n_nationkey", "n_regionkey"], "customer": ["c_custkey", "c_nationkey"], "supplier": ["s_suppkey", "s_nationkey"], "part": ["p_partkey"], "orders": ["o_orderkey", "o_custkey"], "lineitem": ["l_orderkey", "l_partkey", "l_suppkey"]}
+_KEYS = [(t, c) for t, columns in _KEYED.items() for c in columns]
+_RELATED = f"""
+v AS ({" UNION ALL ".join(f"SELECT DISTINCT '{t}' AS t, '{c}' AS c, CAST({c} AS VARCHAR) AS v FROM {t} WHERE {c} IS NOT NULL" for t, c in _KEYS)}),
+u AS ({" UNION ALL ".join(f"SELECT '{t}' AS t, '{c}' AS c, count(DISTINCT {c}) AS d, count(DISTINCT {c}) / count({c}) AS u FROM {t}" for t, c in _KEYS)}),
+k AS (SELECT *, regexp_replace(regexp_replace(lower(c), '^[a-z]{{1,2}}_', ''), '(_?id|_?key)$', '') AS stem FROM u),
+meet AS (SELECT a.t AS t1, a.c AS c1, b.t AS t2, b.c AS c2, count(*) AS n FROM v a JOIN v b ON a.v = b.v AND a.t <> b.t GROUP BY ALL),
+pairs AS (SELECT a.t AS t1, a.c AS c1, b.t AS t2, b.c AS c2, a.u AS u1, b.u AS u2, coalesce(n, 0) / a.d AS held, coalesce(n, 0) / b.d AS back FROM k a JOIN k b ON a.stem = b.stem AND a.stem <> '' AND a.t <> b.t LEFT JOIN meet ON meet.t1 = a.t AND meet.c1 = a.c AND meet.t2 = b.t AND meet.c2 = b.c),
+fine AS (SELECT *, CASE WHEN u1 >= 0.95 THEN 'ONE_TO_ONE' ELSE 'MANY_TO_ONE' END AS kind, 50 + CASE WHEN u2 >= 1 THEN 25 ELSE 15 END + CASE WHEN levenshtein(c1, c2) <= 1 THEN 15 ELSE 5 END + CASE WHEN u1 < 0.95 THEN 10 ELSE 0 END AS score FROM pairs WHERE u2 >= 0.95 AND held >= 0.95 AND (u1 < 0.95 OR back < 0.95 OR t1 < t2)),
+good AS (SELECT * FROM fine WHERE score >= 80)
+"""
+
+
+@add(f"WITH {_RELATED} SELECT t1 AS from_table_name, c1 AS from_column_name, t2 AS to_table_name, c2 AS to_column_name, kind AS cardinality, CAST(score AS INTEGER) AS score FROM good WHERE t1 IN (SELECT t1 FROM good GROUP BY t1 HAVING count(DISTINCT t2) <= 5)")
 def relationship_discovery(spark, d):
-    names = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
-    frames = {n: table(spark, d, n) for n in names}
+    frames = {n: table(spark, d, n) for n in _KEYED}
     stats = None
     for n, df in frames.items():
-        keys = [c for c in df.columns if c.endswith("key")]
-        one = profile.column_stats(df, keys).select(F.lit(n).alias("table_name"), "column_name", (F.col("distinct_values") / F.col("populated")).alias("uniqueness"))
+        one = profile.column_stats(df, _KEYED[n]).select(F.lit(n).alias("table_name"), "column_name", (F.col("distinct_values") / F.col("populated")).alias("uniqueness"))
         stats = one if stats is None else stats.unionByName(one)
     columns = catalog_columns(spark, frames).join(stats, ["table_name", "column_name"])
-    found = o.auto_trusted(o.relationship_candidates(columns))
+    found = o.auto_trusted(o.relationship_candidates(columns, o.containments(frames, _KEYED)))
     return found.select("from_table_name", "from_column_name", "to_table_name", "to_column_name", "cardinality", "score")
 
 

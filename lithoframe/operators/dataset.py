@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import long_values, quantile_rows, select_ranks
+
 # Segmentation limits.
 SEGMENT_PAIRS, SEGMENT_ROWS, SEGMENT_TOP, DIMENSION_VALUES = 12, 10, 20, (2, 50)
 
@@ -16,13 +18,14 @@ def _long(df: DataFrame, columns: list[str], kind: str) -> DataFrame:
 def numeric_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     """A row per column: min, max, mean, sum, std, median, p25, p75, p90, null, zero and negative counts."""
     v = F.col("v")
-    q = lambda p: F.percentile(v, F.lit(p))
-    return _long(df, columns, "double").groupBy("column_name").agg(F.count(F.lit(1)).alias("n_rows"), F.min(v).alias("min_value"), F.max(v).alias("max_value"), F.avg(v).alias("mean_value"), F.sum(v).alias("sum_value"), F.stddev_samp(v).alias("std_value"), q(0.5).alias("median_value"), q(0.25).alias("p25"), q(0.75).alias("p75"), q(0.9).alias("p90"), F.count_if(v.isNull()).alias("null_count"), F.count_if(v == 0).alias("zero_count"), F.count_if(v < 0).alias("negative_count"))
+    quarters = quantile_rows(df, columns, {"median_value": 0.5, "p25": 0.25, "p75": 0.75, "p90": 0.9})
+    out = _long(df, columns, "double").groupBy("column_name").agg(F.count(F.lit(1)).alias("n_rows"), F.min(v).alias("min_value"), F.max(v).alias("max_value"), F.avg(v).alias("mean_value"), F.sum(v).alias("sum_value"), F.stddev_samp(v).alias("std_value"), F.count_if(v.isNull()).alias("null_count"), F.count_if(v == 0).alias("zero_count"), F.count_if(v < 0).alias("negative_count"))
+    return out.join(F.broadcast(quarters), "column_name")  # a row per column
 
 
 def iqr_outliers(df: DataFrame, columns: list[str], factor: float = 1.5) -> DataFrame:
     """column_name, low, high, outliers: values beyond factor interquartile ranges from the quartiles (rounded to 4 places)."""
-    quarter = numeric_profile(df, columns).select("column_name", F.round("p25", 4).alias("q1"), F.round("p75", 4).alias("q3"))
+    quarter = quantile_rows(df, columns, {"p25": 0.25, "p75": 0.75}).select("column_name", F.round("p25", 4).alias("q1"), F.round("p75", 4).alias("q3"))
     fences = quarter.select("column_name", (F.col("q1") - factor * (F.col("q3") - F.col("q1"))).alias("low"), (F.col("q3") + factor * (F.col("q3") - F.col("q1"))).alias("high"))
     long = _long(df, columns, "double").join(F.broadcast(fences), "column_name")  # a row per column
     return long.groupBy("column_name", "low", "high").agg(F.count_if((F.col("v") < F.col("low")) | (F.col("v") > F.col("high"))).alias("outliers"))
@@ -37,13 +40,13 @@ def categorical_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     return full.groupBy("column_name").agg(F.count(F.lit(1)).alias("unique_values"), F.min(F.when(F.col("n") == F.col("most"), F.col("v"))).alias("top_value"), F.max(F.col("most") / F.col("n_rows")).alias("top_share"), F.sum(-p * F.ln(p)).alias("entropy"))
 
 
-def correlations(df: DataFrame, columns: list[str], keep: int = 20) -> DataFrame:
+def correlations(df: DataFrame, columns: list[str], keep: int | None = 20) -> DataFrame:
     """column_a, column_b, r, strength of all pairs in one job, the strongest first; rows with a null in the pair don't count for it."""
     pairs = [(a, b) for k, a in enumerate(columns) for b in columns[k + 1 :]]
     wide = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{k}") for k, (a, b) in enumerate(pairs)])
     rows = F.array(*[F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), F.col(f"`{k}`").alias("r")) for k, (a, b) in enumerate(pairs)])
     out = wide.select(F.explode(rows).alias("x")).select("x.*").filter("r is not null and not isnan(r)")
-    return out.withColumn("strength", F.when(F.abs("r") >= 0.7, "strong").when(F.abs("r") >= 0.4, "moderate").otherwise("weak")).orderBy(F.desc(F.abs("r")), "column_a", "column_b").limit(keep)
+    return out.withColumn("strength", F.when(F.abs("r") >= 0.7, "strong").when(F.abs("r") >= 0.4, "moderate").otherwise("weak")).orderBy(F.desc(F.abs("r")), "column_a", "column_b").limit(len(pairs) if keep is None else keep)
 
 
 def date_profile(df: DataFrame, column: str) -> DataFrame:
@@ -61,33 +64,40 @@ def date_profile(df: DataFrame, column: str) -> DataFrame:
     return ends.crossJoin(gap).select("earliest", "latest", F.datediff("latest", "earliest").alias("range_days"), "valid", "nulls", "median_gap", grain.alias("granularity"))  # one row each
 
 
-def monthly_counts(df: DataFrame, column: str, months: int = 24) -> DataFrame:
-    """month (yyyy-MM), n of the first months."""
-    return df.filter(F.col(column).isNotNull()).groupBy(F.date_format(column, "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("n")).orderBy("month").limit(months)
+def monthly_counts(df: DataFrame, column: str, months: int | None = 24) -> DataFrame:
+    """month (yyyy-MM), n of the first months, or of all if ``months`` is None."""
+    out = df.filter(F.col(column).isNotNull()).groupBy(F.date_format(column, "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("n")).orderBy("month")
+    return out if months is None else out.limit(months)
 
 
 def split_half(df: DataFrame, order: list[str], value: str) -> DataFrame:
-    """n, first_mean, second_mean, change_percent, direction of the first n // 2 rows against the rest; null with fewer than 4 rows. Rows are placed by range partitions, not by one global window."""
-    from pyspark.sql import functions as f
-
-    keys = [f.col(c) for c in order]
-    ranged = df.filter(f.col(value).isNotNull()).repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("part", f.spark_partition_id())
-    local = ranged.withColumn("place", f.row_number().over(Window.partitionBy("part").orderBy(*keys)))
-    sizes = local.groupBy("part").agg(f.count(f.lit(1)).alias("size"))
-    before = f.coalesce(f.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), f.lit(0))
-    offsets = sizes.select("part", before.alias("before"), f.sum("size").over(Window.partitionBy()).alias("n"))  # a row per partition
-    placed = local.join(f.broadcast(offsets), "part").withColumn("place", f.col("place") + f.col("before"))
-    half = f.expr("n div 2")
-    out = placed.agg(f.max("n").alias("n"), f.avg(f.when(f.col("place") <= half, f.col(value))).alias("first_mean"), f.avg(f.when(f.col("place") > half, f.col(value))).alias("second_mean")).filter("n >= 4")
-    change = 100.0 * (f.col("second_mean") - f.col("first_mean")) / f.nullif(f.abs("first_mean"), f.lit(0.0))
-    return out.withColumn("change_percent", change).withColumn("direction", f.when(f.abs(change) < 5, "stable").when(change > 0, "rising").when(change < 0, "falling"))
-
-
-def segments(df: DataFrame, dimension: str, metric: str, kind: str = "sum", top: int = SEGMENT_TOP) -> DataFrame:
+    """n, first_mean, second_mean, change_percent, direction of the first n // 2 rows against the rest; null with fewer than 4 rows.
+
+    ``order``: a time or number, then a number that tells equal ones apart. The last row of
+    the first half is found by selecting its rank, not by numbering the rows.
+    """
+    first, second = order
+    seconds = lambda c: F.unix_micros(F.col(c).cast("timestamp")) if "timestamp" in dict(df.dtypes)[c] else F.col(c)
+    rows = df.filter(F.col(value).isNotNull()).select(seconds(first).cast("double").alias("a"), F.col(second).cast("double").alias("b"), F.col(value).cast("double").alias("v"))
+    n, low, high = rows.agg(F.count(F.lit(1)), F.min("a"), F.max("a")).first()
+    if n < 4:
+        return rows.sparkSession.createDataFrame([], "n bigint, first_mean double, second_mean double, change_percent double, direction string")
+    edge = select_ranks(long_values(rows, ["a"]), {"a": {n // 2 - 1}}, {"a": (low, high)})["a", n // 2 - 1]
+    before, least, most = rows.agg(F.count_if(F.col("a") < edge), F.min(F.when(F.col("a") == edge, F.col("b"))), F.max(F.when(F.col("a") == edge, F.col("b")))).first()
+    place = n // 2 - 1 - before
+    tie = select_ranks(long_values(rows.filter(F.col("a") == edge), ["b"]), {"b": {place}}, {"b": (least, most)})["b", place]
+    is_first = (F.col("a") < edge) | (F.col("a") == edge) & (F.col("b") <= tie)
+    out = rows.agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(is_first, F.col("v"))).alias("first_mean"), F.avg(F.when(~is_first, F.col("v"))).alias("second_mean"))
+    change = 100.0 * (F.col("second_mean") - F.col("first_mean")) / F.nullif(F.abs("first_mean"), F.lit(0.0))
+    return out.withColumn("change_percent", change).withColumn("direction", F.when(F.abs(change) < 5, "stable").when(change > 0, "rising").when(change < 0, "falling"))
+
+
+def segments(df: DataFrame, dimension: str, metric: str, kind: str = "sum", top: int | None = SEGMENT_TOP) -> DataFrame:
     """segment, value, n, share (percent of the segments kept), place: sum, count or avg of a metric by a dimension."""
     value = {"sum": F.sum, "count": F.count, "avg": F.avg}[kind](F.col(metric))
-    kept = df.filter(F.col(dimension).isNotNull()).groupBy(F.col(dimension).cast("string").alias("segment")).agg(value.alias("value"), F.count(F.lit(1)).alias("n")).orderBy(F.desc("value"), "segment").limit(top)
-    every = Window.partitionBy()  # at most ``top`` rows
+    kept = df.filter(F.col(dimension).isNotNull()).groupBy(F.col(dimension).cast("string").alias("segment")).agg(value.alias("value"), F.count(F.lit(1)).alias("n"))
+    kept = kept if top is None else kept.orderBy(F.desc("value"), "segment").limit(top)
+    every = Window.partitionBy()  # at most ``top`` rows, or one for each value of the dimension
     return kept.select("segment", "value", "n", (100.0 * F.col("value") / F.nullif(F.sum("value").over(every), F.lit(0.0))).alias("share"), F.row_number().over(Window.orderBy(F.desc("value"), "segment")).alias("place"))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from ..functions import text as text_
 from ..functions.tiers import percentage
 from ..sources.types import logical_type
+from .quantiles import quantile_rows
 
 STATS = ("total", "populated", "nulls", "distinct_values", "min_value", "max_value", "mean_value", "stddev_value", "zero_count", "blank_count", "min_length", "max_length", "avg_length")
 _SCHEMA = {"total": "bigint", "populated": "bigint", "nulls": "bigint", "distinct_values": "bigint", "min_value": "string", "max_value": "string", "mean_value": "double", "stddev_value": "double", "zero_count": "bigint", "blank_count": "bigint", "min_length": "int", "max_length": "int", "avg_length": "double"}
@@ -74,11 +75,8 @@ def derived_rates(stats: DataFrame) -> DataFrame:
 
 
 def percentiles(df: DataFrame, columns: list[str], points: tuple[float, ...] = (0.05, 0.25, 0.5, 0.75, 0.95)) -> DataFrame:
-    """column_name and one interpolated percentile per point (p5, p25, ...)."""
-    names = [f"p{round(100 * p)}" for p in points]
-    wide = df.agg(*[F.percentile(F.col(f"`{c}`"), list(points)).alias(c) for c in columns])
-    rows = F.array(*[F.struct(F.lit(c).alias("column_name"), *[F.col(f"`{c}`")[k].alias(n) for k, n in enumerate(names)]) for c in columns])
-    return wide.select(F.explode(rows).alias("x")).select("x.*")
+    """column_name and one interpolated percentile per point (p5, p25, ...), exact (see ``quantiles``)."""
+    return quantile_rows(df, columns, {f"p{round(100 * p)}": p for p in points})
 
 
 def histogram(df: DataFrame, column: str, buckets: int = 10) -> DataFrame:
@@ -92,11 +90,12 @@ def histogram(df: DataFrame, column: str, buckets: int = 10) -> DataFrame:
     return frame.join(F.broadcast(counts), "bucket", "left").select("bucket", (F.col("lo") + F.col("bucket") * width).alias("low"), (F.col("lo") + (F.col("bucket") + 1) * width).alias("high"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def top_values(df: DataFrame, columns: list[str], k: int = 10) -> DataFrame:
-    """column_name, value, n, percent (of populated), place: the k commonest values of each column, ties by value; all columns in one job."""
+def top_values(df: DataFrame, columns: list[str], k: int = 10, max_chars: int | None = None) -> DataFrame:
+    """column_name, value, n, percent (of populated), place: the k commonest values of each column, ties by value; all columns in one job. ``max_chars`` shortens values before they are counted; None counts whole ones."""
     from pyspark.sql import Window
 
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.substring(F.col(f"`{c}`").cast("string"), 1, 500).alias("value")) for c in columns])).alias("x")).select("x.*")
+    shown = lambda c: c if max_chars is None else F.substring(c, 1, max_chars)
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), shown(F.col(f"`{c}`").cast("string")).alias("value")) for c in columns])).alias("x")).select("x.*")
     counts = long.filter("value is not null").groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
     totals = counts.groupBy("column_name").agg(F.sum("n").alias("populated"))
     # each hash group keeps its k first before the columns' groups meet

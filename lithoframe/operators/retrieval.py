@@ -27,7 +27,7 @@ def bm25(docs: DataFrame, queries: DataFrame, doc_id: str, fields: dict[str, flo
     for name, weight in fields.items():
         own = docs.select(F.col(doc_id).alias("doc_id"), _terms(F.col(name)).alias("terms")).withColumn("length", F.size("terms"))
         size = own.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("mean_length"))
-        tf = own.select("doc_id", "length", F.explode("terms").alias("term")).join(vocabulary, "term", "left_semi").groupBy("doc_id", "term", "length").agg(F.count(F.lit(1)).alias("tf"))
+        tf = own.filter("length > 0").select("doc_id", "length", F.explode("terms").alias("term")).join(vocabulary, "term", "left_semi").groupBy("doc_id", "term", "length").agg(F.count(F.lit(1)).alias("tf"))
         df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
         norm = F.col("tf") + K1 * (1 - b + b * F.col("length") / F.col("mean_length"))
         idf = F.ln(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -122,18 +122,37 @@ def column_stem(name: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(name), r"^[a-z]{1,2}_", ""), r"(_?id|_?key)$", "")
 
 
-def relationship_candidates(columns: DataFrame) -> DataFrame:
+def containments(frames: dict[str, DataFrame], keys: dict[str, list[str]]) -> DataFrame:
+    """from_table_name, from_column_name, to_table_name, to_column_name, held: the share of the first column's distinct values that the second has; pairs of equal stem in different tables that share a value."""
+    values = None
+    for name, df in frames.items():
+        long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("v")) for c in keys[name]])).alias("x")).select(F.lit(name).alias("table_name"), "x.*")
+        values = long if values is None else values.unionByName(long)
+    values = values.filter("v is not null").distinct().withColumn("stem", column_stem(F.col("column_name")))
+    size = values.groupBy(F.col("table_name").alias("from_table_name"), F.col("column_name").alias("from_column_name")).agg(F.count(F.lit(1)).alias("size"))
+    side = lambda p: values.select("stem", "v", F.col("table_name").alias(f"{p}_table_name"), F.col("column_name").alias(f"{p}_column_name"))
+    both = side("from").join(side("to"), ["stem", "v"]).filter("from_table_name <> to_table_name").groupBy("from_table_name", "from_column_name", "to_table_name", "to_column_name").agg(F.count(F.lit(1)).alias("n"))
+    return both.join(F.broadcast(size), ["from_table_name", "from_column_name"]).withColumn("held", F.col("n") / F.col("size")).drop("n", "size")  # a row per column
+
+
+def relationship_candidates(columns: DataFrame, contained: DataFrame, least: float = 0.95) -> DataFrame:
     """Pairs of columns of equal stem and type in different tables, the unique side as the target, with a score from 0 to 100.
 
-    ``columns``: table_name, column_name, logical_type, uniqueness.
+    ``columns``: table_name, column_name, logical_type, uniqueness; ``contained``: see
+    ``containments``. The target must have the source's values: a small column whose few
+    values happen to be unique is no target. Of two unique columns that hold each other's
+    values the table first by name is the source.
     """
     keyed = columns.filter(F.lower("column_name").rlike("(id|key)$")).withColumn("stem", column_stem(F.col("column_name"))).filter("stem <> ''")
     side = lambda p: keyed.select("stem", "logical_type", *[F.col(c).alias(f"{p}_{c}") for c in ("table_name", "column_name", "uniqueness")])
     pairs = side("from").join(side("to"), ["stem", "logical_type"]).filter("from_table_name <> to_table_name and to_uniqueness >= 0.95")
-    pairs = pairs.filter("from_uniqueness < 0.95 or from_table_name < to_table_name")
+    names = ["from_table_name", "from_column_name", "to_table_name", "to_column_name"]
+    turned = contained.select(*[F.col(c).alias(n) for c, n in zip(names, [*names[2:], *names[:2]], strict=True)], F.col("held").alias("back"))
+    pairs = pairs.join(contained.filter(F.col("held") >= least), names).join(turned, names, "left")
+    pairs = pairs.filter(F.expr("from_uniqueness < 0.95 or from_table_name < to_table_name") | (F.coalesce("back", F.lit(0.0)) < least))
     score = F.lit(50) + F.when(F.col("to_uniqueness") >= 1.0, 25).otherwise(15) + F.when(F.levenshtein("from_column_name", "to_column_name") <= 1, 15).otherwise(5) + F.when(F.col("from_uniqueness") < 0.95, 10).otherwise(0)
     kind = F.when(F.col("from_uniqueness") >= 0.95, "ONE_TO_ONE").otherwise("MANY_TO_ONE")
-    return pairs.select("from_table_name", "from_column_name", "to_table_name", "to_column_name", kind.alias("cardinality"), score.cast("int").alias("score"))
+    return pairs.select(*names, kind.alias("cardinality"), score.cast("int").alias("score"))
 
 
 def auto_trusted(candidates: DataFrame, floor: int = 80, most_targets: int = 5) -> DataFrame:

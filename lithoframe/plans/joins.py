@@ -140,17 +140,17 @@ def orphans(source: DataFrame, column: str, target: DataFrame, key: str) -> Data
 
 
 def shortest_paths(spark: SparkSession, edges: DataFrame, start: str, max_hops: int = 10) -> DataFrame:
-    """node, hops, path of the shortest undirected paths from ``start`` over edges (a, b); of equal lengths the least path."""
-    edges.createOrReplaceTempView("__edges")
-    return spark.sql(
-        """
-        WITH RECURSIVE both AS (SELECT a, b FROM __edges UNION SELECT b, a FROM __edges),
-        walk(node, hops, path) AS (
-            SELECT :start, 0, :start
-            UNION ALL
-            SELECT b, hops + 1, path || '>' || b FROM walk JOIN both ON node = a
-            WHERE hops < :hops AND instr('>' || path || '>', '>' || b || '>') = 0)
-        SELECT node, min(hops) AS hops, min_by(path, struct(hops, path)) AS path FROM walk GROUP BY node
-        """,
-        args={"start": start, "hops": max_hops},
-    )
+    """node, hops, path of the shortest undirected paths from ``start`` over edges (a, b); of equal lengths the least path.
+
+    One round for each hop; a node keeps the least path of the round that reaches it
+    first, and goes on from there. The rounds end when no node is new.
+    """
+    both = edges.select("a", "b").union(edges.select("b", "a")).distinct()
+    seen = front = spark.createDataFrame([(start, 0, start)], "node string, hops int, path string")
+    for hop in range(1, max_hops + 1):
+        met = front.join(both, front.node == both.a).select(F.col("b").alias("node"), F.concat_ws(">", "path", "b").alias("path"))
+        front = met.join(seen.select("node"), "node", "left_anti").groupBy("node").agg(F.min("path").alias("path")).select("node", F.lit(hop).alias("hops"), "path").cache()
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
+    return seen

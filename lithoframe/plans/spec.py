@@ -194,13 +194,15 @@ def validate(spec: QuerySpec) -> list[str]:
         risky = any(e.fanout_risk in ("MEDIUM", "HIGH") for e in spec.joins)
         if f.aggregation and f.aggregation.upper() == "COUNT" and risky and not (f.distinct and f.column):
             reasons.append(f"counting {f.table} over a join that repeats rows needs COUNT(DISTINCT key)")
+    if spec.limit is not None and spec.limit > MAX_ROWS:
+        reasons.append(f"a limit of {spec.limit} rows is above {MAX_ROWS}")
     names = [f.name for f in spec.select]
     reasons += [f"{n} is selected twice" for n in sorted({n for n in names if names.count(n) > 1})]
     return reasons
 
 
 def build(spec: QuerySpec, tables: dict[str, DataFrame]) -> DataFrame:
-    """The DataFrame of a specification; at most ``MAX_ROWS`` rows if it has a limit. Raises ``Refused``."""
+    """The DataFrame of a specification; at most its limit in rows, if it has one; a limit above ``MAX_ROWS`` is refused. Raises ``Refused``."""
     if reasons := validate(spec):
         raise Refused(*reasons)
     df = join_tree(tables, spec.base, spec.joins)
@@ -222,7 +224,7 @@ def build(spec: QuerySpec, tables: dict[str, DataFrame]) -> DataFrame:
         df = df.orderBy(*order)
     if spec.offset:
         df = df.offset(spec.offset)
-    return df if spec.limit is None else df.limit(min(spec.limit, MAX_ROWS))
+    return df if spec.limit is None else df.limit(spec.limit)
 
 
 def entity_list(table: str, columns: list[str], restricted: set[str], limit: int = MAX_ROWS) -> QuerySpec:

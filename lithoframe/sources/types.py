@@ -4,27 +4,30 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-# Members of each logical type, by raw type name.
-RAW_TYPES = {
-    "INTEGER": ["int", "bigint", "smallint", "tinyint", "integer"],
-    "DECIMAL": ["decimal", "numeric", "float", "real", "double", "money", "smallmoney"],
-    "TEXT": ["char", "varchar", "nchar", "nvarchar", "text", "ntext", "string", "sysname", "uniqueidentifier", "clob"],
-    "DATETIME": ["date", "datetime", "datetime2", "datetimeoffset", "smalldatetime", "time", "timestamp", "timestamp_ntz", "interval"],
-    "BOOLEAN": ["bit", "bool", "boolean"],
-    "BINARY": ["binary", "varbinary", "image", "bytea", "blob"],
-    "JSON": ["xml", "json", "jsonb", "variant"],
-}
-_LOGICAL = {raw: logical for logical, names in RAW_TYPES.items() for raw in names}
+# The logical type of each raw type name.
+LOGICAL_TYPES = {
+    "int": "INTEGER", "bigint": "INTEGER", "smallint": "INTEGER", "tinyint": "INTEGER", "integer": "INTEGER",
+    "decimal": "DECIMAL", "numeric": "DECIMAL", "float": "DECIMAL", "real": "DECIMAL", "money": "DECIMAL", "smallmoney": "DECIMAL", "double precision": "DECIMAL", "double": "DECIMAL",
+    "char": "TEXT", "varchar": "TEXT", "nchar": "TEXT", "nvarchar": "TEXT", "text": "TEXT", "ntext": "TEXT", "sysname": "TEXT", "uniqueidentifier": "TEXT", "character varying": "TEXT", "character": "TEXT", "clob": "TEXT", "tinytext": "TEXT", "mediumtext": "TEXT", "longtext": "TEXT",
+    "date": "DATETIME", "datetime": "DATETIME", "datetime2": "DATETIME", "datetimeoffset": "DATETIME", "smalldatetime": "DATETIME", "time": "DATETIME", "timestamp": "DATETIME", "timestamp without time zone": "DATETIME", "timestamp with time zone": "DATETIME", "interval": "DATETIME",
+    "bit": "BOOLEAN", "bool": "BOOLEAN", "boolean": "BOOLEAN",
+    "binary": "BINARY", "varbinary": "BINARY", "image": "BINARY", "bytea": "BINARY", "blob": "BINARY", "tinyblob": "BINARY", "mediumblob": "BINARY", "longblob": "BINARY",
+    "xml": "JSON", "json": "JSON", "jsonb": "JSON",
+}
+#: Spark's own names beside them.
+SPARK_TYPES = {"string": "TEXT", "timestamp_ntz": "DATETIME", "variant": "JSON"}
+_LOGICAL = LOGICAL_TYPES | SPARK_TYPES
 
 
 def logical_type(raw: str | T.DataType | None) -> str:
-    """INTEGER, DECIMAL, TEXT, DATETIME, BOOLEAN, BINARY, JSON or OTHER."""
-    name = raw.simpleString() if isinstance(raw, T.DataType) else (raw or "")
-    return _LOGICAL.get(name.lower().split("(")[0].split(" ")[0].strip(), "OTHER")
+    """INTEGER, DECIMAL, TEXT, DATETIME, BOOLEAN, BINARY, JSON or OTHER; sizes in brackets don't matter."""
+    name = re.sub(r"\s+", " ", re.sub(r"\(.*?\)", "", raw.simpleString() if isinstance(raw, T.DataType) else (raw or ""))).strip().lower()
+    return _LOGICAL.get(name) or _LOGICAL.get(name.split(" ")[0], "OTHER")
 
 
 def fingerprint(schema: T.StructType) -> str:
