@@ -73,9 +73,10 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % F.lit(1 << 31))).first())
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, root for every node of the edges (a, b: bigint) that has another node; the root is the least node reachable. Materialised."""
-    now = materialize(edges.select("a", "b").filter("a <> b").mapInArrow(forests, "a bigint, b bigint"), "edges")
+def components(edges: DataFrame, *, flat: bool = False) -> DataFrame:
+    """node, root for every node of the edges (a, b: bigint) that has another node; the root is the least node reachable. Materialised. ``flat``: the tasks' edges are forests already."""
+    edges = edges.select("a", "b").filter("a <> b")
+    now = materialize(edges if flat else edges.mapInArrow(forests, "a bigint, b bigint"), "edges")
     if counted(now) <= ONE_TASK:
         step = materialize(now.coalesce(1).mapInArrow(forests, "a bigint, b bigint"), "edges")
         release([now])

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import components, forests
 from .shared import counted, materialize, release, small
 from .vectext import NON_SPACE, gram_hashes, mix64, slices, words
 
@@ -129,7 +129,9 @@ def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _confirm(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A forest of the pairs (a, b, s_a, s_b) that are similar enough: as many links as join what they join."""
+
+    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
@@ -142,7 +144,7 @@ def _confirm(percent: int):
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
-    return run
+    return lambda batches: forests(similar(batches))
 
 
 def _block_links(percent: int):
@@ -238,7 +240,7 @@ class NearDuplicates:
         return both.select("a", "b", "sig_a", "sig_b").mapInArrow(_close, "a bigint, b bigint")
 
     def confirmed(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """Of pairs (a, b), those that are similar enough on the full sets."""
+        """Links that join all that the similar ones of the pairs (a, b) join, by their full sets."""
         x, y = (sets.select(F.col("fp").alias(c), F.col("s").alias(f"s_{c}")) for c in "ab")
         return self.close(pairs).join(x, "a").join(y, "b").select("a", "b", "s_a", "s_b").mapInArrow(_confirm(self.percent), "a bigint, b bigint")
 
@@ -302,7 +304,7 @@ class NearDuplicates:
     def result(self) -> DataFrame:
         buckets = self.buckets()
         sets = self.sets(buckets)
-        roots = components(self.confirmed(self.stars(buckets), sets))
+        roots = components(self.confirmed(self.stars(buckets), sets), flat=True)
         mixed = self.mixed(buckets, roots)
         if counted(mixed):
             roots = self.joined(roots, self.confirmed(self.probes(mixed), sets))

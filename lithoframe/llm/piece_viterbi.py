@@ -32,7 +32,7 @@ from .pieces import Pieces, prefixed, units
 from .shared import without
 from .vectext import POWERS, ROLLING, list_array, mix64, slices, with_columns
 
-SLICE = 2 << 20
+SLICE = 1 << 20
 #: Cells (units times length) that one matrix holds.
 CELLS = 1 << 18
 #: Units of more bytes are searched one by one, this many start positions at a time.

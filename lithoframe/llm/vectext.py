@@ -17,6 +17,8 @@ import pyarrow.compute as pc
 
 #: Bytes of text that one slice holds, unless a single text is longer.
 SLICE_BYTES = 1 << 20
+#: Bytes of text whose sums are held at a time when spans are hashed or compared.
+HASH_BYTES = 1 << 18
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _S33 = np.uint64(33)
@@ -153,7 +155,7 @@ class PrimePowers:
 
     def need(self, n: int) -> None:
         if len(self.low) < n:
-            up, self.down = (_powers(b, max(n, SLICE_BYTES + 4096)) for b in (_SEED, pow(_SEED, -1, int(PRIME))))
+            up, self.down = (_powers(b, max(n, HASH_BYTES + 4096)) for b in (_SEED, pow(_SEED, -1, int(PRIME))))
             self.low, self.high = up & _LOW32, up >> _S32
 
 
@@ -192,15 +194,15 @@ def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np
     k = 0
     while k < len(starts):
         lo = starts[k]
-        e = max(k + 1, int(np.searchsorted(ends, lo + SLICE_BYTES, side="right")))
-        if ends[e - 1] - lo <= SLICE_BYTES:
+        e = max(k + 1, int(np.searchsorted(ends, lo + HASH_BYTES, side="right")))
+        if ends[e - 1] - lo <= HASH_BYTES:
             out[k:e] = _polynomials(raw[lo : ends[e - 1]], starts[k:e] - lo, ends[k:e] - lo, table)
         else:  # one very long span
             total = np.zeros(1, dtype=np.uint64)
-            for c, p in enumerate(range(int(lo), int(ends[k]), SLICE_BYTES)):
-                part = raw[p : min(p + SLICE_BYTES, int(ends[k]))]
+            for c, p in enumerate(range(int(lo), int(ends[k]), HASH_BYTES)):
+                part = raw[p : min(p + HASH_BYTES, int(ends[k]))]
                 one = _polynomials(part, np.zeros(1, np.int64), np.array([len(part)]), table)
-                total = reduced(total + times(one, np.array([pow(_SEED, c * SLICE_BYTES, int(PRIME))], dtype=np.uint64)))
+                total = reduced(total + times(one, np.array([pow(_SEED, c * HASH_BYTES, int(PRIME))], dtype=np.uint64)))
             out[k:e] = total
         k = e
     return mix64(out ^ (ends - starts).astype(np.uint64) * _M1)
@@ -217,7 +219,7 @@ def same_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, others: np
     k = 0
     upto = np.cumsum(size)
     while k < len(starts):
-        e = max(k + 1, int(np.searchsorted(upto, (upto[k - 1] if k else 0) + SLICE_BYTES, side="right")))
+        e = max(k + 1, int(np.searchsorted(upto, (upto[k - 1] if k else 0) + HASH_BYTES, side="right")))
         if e == k + 1:
             if not np.array_equal(raw[starts[k] : ends[k]], raw[others[k] : others[k] + size[k]]):
                 return False
