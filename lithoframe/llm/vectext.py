@@ -9,6 +9,8 @@ slice of its own and its words are hashed in chunks.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -113,6 +115,14 @@ def slices(column: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, int
         end = min(rows, max(row + 1, int(np.searchsorted(at, at[row] + size, side="right")) - 1))
         yield row, end, raw[at[row] : at[end]], at[row : end + 1] - at[row]
         row = end
+    _give_back()
+
+
+def _give_back() -> None:
+    """Return freed memory to the system once a batch is done: workers wait for their next task with little in hand."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # C libraries without it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def spans(raw: np.ndarray, at: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
