@@ -80,8 +80,9 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = only(table(spark, sf_dir, "documents"), doc_id="bigint", text="string", source="string")
     found = secret_findings(docs, carry=["doc_id"])
     count = lambda kind: F.size(F.filter("findings", lambda x: x["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    judged = lambda verdict: F.size(F.filter("findings", lambda x: x["verdict"] == verdict)).cast("bigint").alias(f"n_{verdict}")
     base = F.filter("findings", lambda x: x["kind"] != "owned")
-    return found.select("doc_id", *map(count, ("assign", "access", "hex")), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("findings")).alias("spans"), *(F.size(F.filter("findings", lambda x, v=v: x["verdict"] == v)).cast("bigint").alias(f"n_{v}") for v in ("live", "example")))
+    return found.select("doc_id", *map(count, ("assign", "access", "hex")), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("findings")).alias("spans"), judged("live"), judged("example"))
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
