@@ -9,9 +9,14 @@ candidates. A candidate must leave room for the window on both sides (length and
 position); it is looked up by one hash of all its words, and the words of what is found
 are compared as bytes.
 
-Windows are taken in blocks of at most ``max_windows`` distinct windows; a block
-is what is broadcast, so its size is bounded whatever the benchmark's, and further
-blocks are further passes over the documents.
+At most ``max_windows`` distinct windows are broadcast as an index. Of more, prefix tokens
+and windows are joined by shuffles, with the same results and two passes over the
+documents whatever the benchmark's size: words are counted, then the places of prefix
+tokens leave a candidate each, with the words that would be the window, if two bit filters
+of fixed size (``FILTER_BITS``; prefix tokens and whole windows, both without false
+negatives) let it through. Candidates meet windows by their words, not by hashes. A text is
+joined once, however many documents have it. A window without a word of the corpus occurs
+nowhere and drops out before.
 
 Nulls and empty texts have no words: no window, no hit. Repeated rows are judged
 each for itself; an item id that repeats is one item. An item without an id marks words
@@ -29,10 +34,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import materialize, release, without
+from .shared import counted, materialize, release, small, without
 from .vectext import ALNUM, LOWER, list_array, mix64, same_spans, slices, span_hashes, spans, with_columns, words
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Bits of a filter, as a power of two: 16 MB are broadcast.
+FILTER_BITS = 27
+#: Rows of (word, count) that may be broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+#: Parts over which the documents of one text are dealt.
+SALTS = 16
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 
 
@@ -93,7 +104,7 @@ def _joint(columns: list[np.ndarray]) -> np.ndarray:
 
 
 class WindowIndex:
-    """Distinct windows of one block by their prefix token.
+    """Distinct windows by their prefix token.
 
     Windows of one length whose prefix token stands at one place form a group. A
     document's word that is a prefix token of a group fixes where such a window would
@@ -165,6 +176,100 @@ class WindowIndex:
         return fine.reshape(-1, n).all(axis=1)
 
 
+class BitFilter:
+    """The hashes of a column as set bits, made by tasks: the driver gets 2 ** bits / 64 words at most, whatever the table's size."""
+
+    def __init__(self, hashes: DataFrame, column: str, bits: int):
+        at = hashes.select(F.expr(f"shiftrightunsigned(`{column}`, {64 - bits})").alias("at"))
+        made = at.groupBy(F.expr("shiftright(at, 6)").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 AS int))")).alias("set")).toArrow()
+        self.bits, self.words = bits, np.zeros(1 << (bits - 6), dtype=np.int64)
+        self.words[made.column("word").to_numpy()] = made.column("set").to_numpy()
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        at = (h >> np.uint64(64 - self.bits)).view(np.int64)
+        return (self.words[at >> 6] >> (at & 63)) & 1 == 1
+
+
+def _token_keys(h: np.ndarray, n: int, j: int) -> np.ndarray:
+    """One hash for a prefix token that stands at place j of a window of n words."""
+    return mix64(h ^ mix64(np.array([n << 32 | j], dtype=np.uint64)))
+
+
+def _word_counts(docs: DataFrame, known: BitFilter, text_col: str) -> DataFrame:
+    """word, n: how often the words that pass the filter occur in all documents."""
+    shared = docs.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, raw, at in slices(batch.column(0)):
+                h, _ = words(raw, at, ALNUM)
+                word, n = np.unique(h[shared.value.has(h)], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n)], names=["word", "n"])
+
+    return docs.select(F.col(text_col).cast("string")).mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def _window_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From w and j, the place of the prefix token: hash of the token at its place, hash of all words, n, j."""
+    for batch in batches:
+        column, j = batch.column(0), batch.column(1).to_numpy().astype(np.int64)
+        length, flat = np.diff(column.offsets.to_numpy()).astype(np.int64), column.flatten().to_numpy().view(np.uint64)
+        first = np.cumsum(length) - length
+        for n, at in np.unique(np.stack([length, j], axis=1), axis=0).tolist() if len(j) else ():
+            own = first[(length == n) & (j == at)]
+            token, whole = _token_keys(flat[own + at], n, at), _joint([flat[own + c] for c in range(n)])
+            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(np.full(len(own), n, np.int32)), pa.array(np.full(len(own), at, np.int32))], names=["token", "whole", "n", "j"])
+
+
+def _candidates(tokens, wholes, groups: list[tuple[int, int]]):
+    """Of texts and their keys: key, first word, end and the words themselves of each stretch that may be a window."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, raw, at in slices(batch.column(1)):
+                starts, ends, rows = spans(raw, at, ALNUM)
+                h = span_hashes(raw, starts, ends)
+                low = LOWER[raw].tobytes()
+                key = batch.column(0).slice(lo, hi - lo)
+                for n, j in groups if len(h) else ():
+                    p = np.flatnonzero(tokens.value.has(_token_keys(h, n, j)))
+                    r, start = np.searchsorted(rows, p, side="right") - 1, p - j
+                    fits = (start >= rows[r]) & (start + n <= rows[r + 1])
+                    start, r = start[fits], r[fits]
+                    if len(start):
+                        found = wholes.value.has(_joint([h[start + c] for c in range(n)]))
+                        start, r = start[found], r[found]
+                    texts = [b" ".join(low[a:b] for a, b in zip(starts[s : s + n].tolist(), ends[s : s + n].tolist(), strict=True)).decode() for s in start.tolist()]
+                    place = (start - rows[r]).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([key.take(pa.array(r)), pa.array(place), pa.array(place + np.int32(n)), pa.array(texts, pa.string())], names=["__key", "start", "end", "t"])
+
+    return run
+
+
+def _shuffled_hits(docs: DataFrame, windows: DataFrame, text_col: str) -> DataFrame:
+    """__key (sha-256 of a text), hit_spans, items of all texts that hold a window. Materialised."""
+    spark = docs.sparkSession
+    share = spark.sparkContext.broadcast
+    vocabulary = materialize(windows.select(F.explode("w").alias("word")).distinct(), "vocabulary")
+    counts = _word_counts(docs, BitFilter(vocabulary, "word", FILTER_BITS), text_col)
+    counts = materialize(counts.join(small(vocabulary, BROADCAST_ROWS), "word", "left_semi"), "counts")
+    # a word that no document has is not in counts: it is the rarest, and its windows drop out
+    each = windows.select("t", F.posexplode("w").alias("j", "word")).join(small(counts, BROADCAST_ROWS), "word", "left")
+    prefix = each.groupBy("t").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "j")).alias("p")).filter("p.n > 0").select("t", "p.j")
+    keys = materialize(windows.select("t", "w").join(prefix, "t").select("w", "j").mapInArrow(_window_keys, "token bigint, whole bigint, n int, j int"), "keys")
+    groups = sorted(tuple(r) for r in keys.select("n", "j").distinct().collect())  # at most size * size rows
+    find = _candidates(share(BitFilter(keys, "token", FILTER_BITS)), share(BitFilter(keys, "whole", FILTER_BITS)), groups)
+    text = F.col(text_col).cast("string")
+    found = docs.select(F.sha2(text, 256).alias("__key"), text.alias("t")).filter("t is not null").mapInArrow(find, "__key string, start int, end int, t string").distinct()
+    found = materialize(found.join(windows.select("t"), "t", "left_semi"), "found")
+    at = found.groupBy("__key").agg(F.collect_set(F.struct("start", "end")).alias("hit_spans"))
+    # items of each text once, however often it holds their windows
+    names = found.select("__key", "t").distinct().join(windows.select("t", F.explode("items").alias("item")), "t").groupBy("__key").agg(F.collect_set("item").alias("items"))
+    hits = materialize(at.join(names, "__key", "left"), "hits")
+    release([vocabulary, counts, keys, found])
+    return hits
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, *, text_col: str = "text", item_text: str = "text", item_id: str = "item_id", carry: list[str] | None = None, max_windows: int = 200_000) -> DataFrame:
     """``carry`` (all columns if None) plus n_words, hit_spans (word positions, end exclusive, merged) and items (ids, sorted as strings)."""
     spark = docs.sparkSession
@@ -172,19 +277,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, *, text
     carry = [c for c in (docs.columns if carry is None else carry) if c not in made]
     windows = item_windows(benchmark, size, item_text, item_id).groupBy("w", "t").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
     windows = materialize(windows, "windows")
-    blocks = max(1, -(-windows.count() // max_windows))
-    out, schema = docs.select(*dict.fromkeys([*carry, text_col])), None
-    for b in range(blocks):
-        rows = (windows if blocks == 1 else windows.filter(F.pmod(F.xxhash64("w"), F.lit(blocks)) == b)).collect()  # at most about max_windows rows
-        vocabulary = np.unique(np.array([x for r in rows for x in r.w], dtype=np.int64))
-        rarity = {r.word: r.n for r in word_frequencies(docs, vocabulary, text_col).collect()} if len(vocabulary) else {}
-        index = spark.sparkContext.broadcast(WindowIndex([r.w for r in rows], [r.t for r in rows], [list(r["items"]) for r in rows], rarity, size)) if rows else None
-        last = b == blocks - 1
-        kept = carry if last else list(dict.fromkeys([*carry, text_col]))
-        schema = T.StructType([*without(out.select(*kept).schema, made).fields, T.StructField("n_words", T.LongType()), T.StructField("hit_spans", SPANS), T.StructField("items", T.ArrayType(T.StringType()))])
-        out = out.mapInArrow(_pass(index, text_col, kept, b > 0), schema)
+    own = docs.select(*dict.fromkeys([*carry, text_col]))
+    schema = T.StructType([*without(own.select(*carry).schema, made).fields, T.StructField("n_words", T.LongType()), T.StructField("hit_spans", SPANS), T.StructField("items", T.ArrayType(T.StringType()))])
+    if counted(windows) > max_windows:
+        hits = _shuffled_hits(docs, windows, text_col).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        release([windows])
+        # a salt of any kind will do: every part has all hits
+        keyed = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*carry, text_col])], F.sha2(F.col(text_col).cast("string"), 256).alias("__key"), (F.spark_partition_id() % SALTS).alias("__salt"))
+        joint = keyed.join(hits, ["__key", "__salt"], "left").select(*own.columns, F.coalesce("hit_spans", F.array().cast(SPANS)).alias("hit_spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+        return joint.mapInArrow(_pass(None, text_col, carry, True), schema)
+    rows = windows.collect()  # at most max_windows rows
+    vocabulary = np.unique(np.array([x for r in rows for x in r.w], dtype=np.int64))
+    rarity = {r.word: r.n for r in word_frequencies(docs, vocabulary, text_col).collect()} if len(vocabulary) else {}
+    index = spark.sparkContext.broadcast(WindowIndex([r.w for r in rows], [r.t for r in rows], [list(r["items"]) for r in rows], rarity, size)) if rows else None
     release([windows])
-    return out
+    return own.mapInArrow(_pass(index, text_col, carry, False), schema)
 
 
 def _pass(index, text_col: str, kept: list[str], more: bool):
@@ -199,7 +306,7 @@ def _pass(index, text_col: str, kept: list[str], more: bool):
                 n_words.append(np.diff(rows))
                 window, start, row = own.find(h, rows, LOWER[raw], starts, ends) if own is not None and len(h) else (np.zeros(0, np.int64),) * 3
                 end = start + own.length[window] if len(window) else start
-                if more:  # what earlier blocks found
+                if more:  # what a join found
                     had = [(rows[k] + s["start"], rows[k] + s["end"], k) for k, ss in enumerate(batch.column("hit_spans").slice(lo, hi - lo).to_pylist()) for s in ss]
                     if had:
                         s0, e0, r0 = np.array(had, dtype=np.int64).T
