@@ -11,7 +11,8 @@ is positive and at least ``threshold`` times its trust.
 Links are counted per pair of hosts before anything is joined, so a host with very
 many pages is one row; ranks are summed with a combine before the shuffle. Rounds
 end when the ranks move by less than ``tolerance`` in total; round k moves them by
-2 * damping ** k at most, so that ends every run. What later rounds would move is left
+2 * damping ** k at most, so that ends every run. Rank that reaches hosts without links goes back to the seeds, so trust
+and distrust each sum to one. What later rounds would move is left
 out: less than tolerance * damping / (1 - damping) in total.
 
 A null url, or one without ``://``, has an empty host and path, fits no rule and
@@ -103,12 +104,18 @@ def page_rank(links: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds:
     return ranks
 
 
+def _whole(ranks: DataFrame) -> DataFrame:
+    """Ranks that sum to one. The same as giving what reaches hosts without links back to the seeds, which multiplies all ranks by one number."""
+    total = ranks.agg(F.sum("rank")).first()[0] or 1.0
+    return ranks.withColumn("rank", F.col("rank") / F.lit(float(total)))
+
+
 def host_verdicts(ruled: DataFrame, links: DataFrame, threshold: float = 1.0) -> DataFrame:
     """host, trust, distrust, verdict of all hosts that seeds or links reach; ``ruled`` has host and verdict (of a rule, else null)."""
     seeds = materialize(ruled.groupBy("host").agg(F.count_if(F.col("verdict") == "allow").alias("good"), F.count_if(F.col("verdict") == "block").alias("bad")), "seeds")
     links = materialize(links, "links")
-    trust = page_rank(links, seeds.select("host", F.col("good").alias("weight")))
-    distrust = page_rank(links.select(F.col("target").alias("source"), F.col("source").alias("target"), "n"), seeds.select("host", F.col("bad").alias("weight")))
+    trust = _whole(page_rank(links, seeds.select("host", F.col("good").alias("weight"))))
+    distrust = _whole(page_rank(links.select(F.col("target").alias("source"), F.col("source").alias("target"), "n"), seeds.select("host", F.col("bad").alias("weight"))))
     both = trust.withColumnRenamed("rank", "trust").join(distrust.withColumnRenamed("rank", "distrust"), "host", "full").na.fill(0.0)
     return both.withColumn("verdict", F.when((F.col("distrust") > 0) & (F.col("distrust") >= threshold * F.col("trust")), "block").otherwise("allow"))
 
