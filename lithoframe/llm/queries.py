@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontamination import contamination
-from .license_scan import license_matches
+from .license_scan import FULL_TEXTS, TEMPLATES, license_matches
 from .near_dedup import near_duplicates
 from .piece_viterbi import encode
 from .quality import fit_quality, held_out, quality_scores
@@ -52,7 +52,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = only(table(spark, sf_dir, "documents"), doc_id="bigint", text="string")
-    found = license_matches(docs, carry=["doc_id"])
+    found = license_matches(docs, templates=TEMPLATES | FULL_TEXTS, carry=["doc_id"])
     names = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["template"])))
     best = F.array_max(F.transform("matches", lambda m: m["dice"]))
     return found.select("doc_id", F.size("matches").cast("bigint").alias("n_matches"), F.array_join(names, ",").alias("licenses"), F.round(best, 6).alias("best_dice"))

@@ -4,7 +4,7 @@ import random
 import re
 import textwrap
 
-from lithoframe.llm.license_scan import TEMPLATES, license_matches, template_bigrams
+from lithoframe.llm.license_scan import FULL_TEXTS, TEMPLATES, license_matches, template_bigrams
 
 R = random.Random(11)
 STOCK = {n: set(template_bigrams(t)) for n, t in TEMPLATES.items()}
@@ -73,3 +73,14 @@ def test_windows_equal_plain_search(spark):
         texts.append("".join(w + R.choice("    \n") for w in words))
     got = found(spark, texts)
     assert [(k, t) for k, t in enumerate(texts) if got[k] != plain(t)] == []
+
+
+def test_full_texts_under_a_copyright_line_and_above_code(spark):
+    names = sorted(FULL_TEXTS)
+    code = " ".join(f"x{R.randrange(10**6)}" for _ in range(400))  # unlike prose(), many different bigrams, so that the whole text is no match
+    header = lambda n: "// Copyright (c) 2020 Foo\n// " + "\n// ".join(textwrap.wrap(FULL_TEXTS[n], 60)) + f"\n{code}"
+    df = spark.createDataFrame([(k, header(n)) for k, n in enumerate(names)] + [(99, prose(900))], "doc_id int, text string")
+    got = {r.doc_id: r.matches for r in license_matches(df, templates=TEMPLATES | FULL_TEXTS).collect()}
+    for k, n in enumerate(names):
+        assert any(m.template == n and m.dice > 0.99 for m in got[k]), n
+    assert not any(m.template in FULL_TEXTS for m in got[99])
