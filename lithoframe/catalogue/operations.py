@@ -72,38 +72,27 @@ def risk_scores(spark, d):
     return table(spark, d, "orders").select("o_orderkey", o.risk_score(state, F.col("o_totalprice") > 300000, F.col("o_orderpriority") == "1-URGENT", F.col("o_totalprice") / 100000).cast("int").alias("risk"))
 
 
-_SLA = "SELECT o_orderkey, o_orderpriority, p, CASE WHEN o_orderstatus = 'F' THEN 'COMPLETED' WHEN dd > p THEN 'OVERDUE' WHEN p - dd <= 1 THEN 'AT_RISK' ELSE 'ON_TRACK' END AS sla, dd FROM (SELECT *, CASE o_orderpriority WHEN '1-URGENT' THEN 1 WHEN '2-HIGH' THEN 3 WHEN '3-MEDIUM' THEN 7 ELSE 14 END AS p, CASE WHEN o_orderstatus = 'F' THEN 5 ELSE date_diff('day', CAST(o_orderdate AS DATE), DATE '2001-08-01') END AS dd FROM orders WHERE o_orderdate >= TIMESTAMP '2001-07-15' AND o_orderdate < TIMESTAMP '2001-08-01')"
-#: The same over every order before the as-of day.
-_SLA_ALL = _SLA.replace("o_orderdate >= TIMESTAMP '2001-07-15' AND ", "")
+_SLA = "SELECT o_orderkey, o_orderpriority, p, CASE WHEN o_orderstatus = 'F' THEN 'COMPLETED' WHEN dd > p THEN 'OVERDUE' WHEN p - dd <= 1 THEN 'AT_RISK' ELSE 'ON_TRACK' END AS sla, dd FROM (SELECT *, CASE o_orderpriority WHEN '1-URGENT' THEN 1 WHEN '2-HIGH' THEN 3 WHEN '3-MEDIUM' THEN 7 ELSE 14 END AS p, CASE WHEN o_orderstatus = 'F' THEN 5 ELSE date_diff('day', CAST(o_orderdate AS DATE), DATE '2001-08-01') END AS dd FROM orders WHERE o_orderdate < TIMESTAMP '2001-08-01')"
 
 
-def _sla(spark, d, since="timestamp '2001-07-15'"):
-    rows = table(spark, d, "orders").filter("o_orderdate < timestamp '2001-08-01'" + (f" and o_orderdate >= {since}" if since else ""))
+def _sla(spark, d):
+    """Every order before the as-of day."""
+    rows = table(spark, d, "orders").filter("o_orderdate < timestamp '2001-08-01'")
     p = F.when(F.col("o_orderpriority") == "1-URGENT", "CRITICAL").when(F.col("o_orderpriority") == "2-HIGH", "HIGH").when(F.col("o_orderpriority") == "3-MEDIUM", "MEDIUM").otherwise("LOW")
     rows = rows.withColumn("priority", p).withColumn("created", F.to_date("o_orderdate")).withColumn("done", F.when(F.col("o_orderstatus") == "F", F.date_add("created", 5)))
     return o.sla_status(rows, "priority", "created", "done", F.lit("2001-08-01").cast("date"))
 
 
-@add(f"SELECT o_orderkey, sla, CAST(dd AS INTEGER) AS days_open, CAST(greatest(0, dd - p) AS INTEGER) AS days_overdue FROM ({_SLA})")
+@add(f"SELECT o_orderkey, sla, CAST(dd AS INTEGER) AS days_open, CAST(greatest(0, dd - p) AS INTEGER) AS days_overdue FROM ({_SLA})", also="sla_status_all")
 def sla_status(spark, d):
     return _sla(spark, d).select("o_orderkey", "sla", "days_open", "days_overdue")
 
 
-@add(f"SELECT o_orderkey, sla, CAST(dd AS INTEGER) AS days_open, CAST(greatest(0, dd - p) AS INTEGER) AS days_overdue FROM ({_SLA_ALL})")
-def sla_status_all(spark, d):
-    return _sla(spark, d, None).select("o_orderkey", "sla", "days_open", "days_overdue")
-
-
-@add(f"SELECT o_orderpriority, count(*) FILTER (sla <> 'COMPLETED') AS open_items, round(100.0 * count(*) FILTER (sla = 'OVERDUE') / nullif(count(*) FILTER (sla <> 'COMPLETED'), 0), 6) AS overdue_percent FROM ({_SLA}) GROUP BY 1")
+@add(f"SELECT o_orderpriority, count(*) FILTER (sla <> 'COMPLETED') AS open_items, round(100.0 * count(*) FILTER (sla = 'OVERDUE') / nullif(count(*) FILTER (sla <> 'COMPLETED'), 0), 6) AS overdue_percent FROM ({_SLA}) GROUP BY 1", also="backlog_summary_all")
 def backlog_summary(spark, d):
     return o.backlog_summary(_sla(spark, d), "o_orderpriority").select("o_orderpriority", "open_items", F.round("overdue_percent", 6).alias("overdue_percent"))
 
 
-@add(f"SELECT o_orderpriority, count(*) FILTER (sla <> 'COMPLETED') AS open_items, round(100.0 * count(*) FILTER (sla = 'OVERDUE') / nullif(count(*) FILTER (sla <> 'COMPLETED'), 0), 6) AS overdue_percent FROM ({_SLA_ALL}) GROUP BY 1")
-def backlog_summary_all(spark, d):
-    return o.backlog_summary(_sla(spark, d, None), "o_orderpriority").select("o_orderpriority", "open_items", F.round("overdue_percent", 6).alias("overdue_percent"))
-
-
 @add("SELECT o_orderkey, CASE WHEN o_totalprice >= 300000 THEN 'block' WHEN o_totalprice >= 100000 THEN 'review' WHEN o_totalprice >= 50000 THEN 'log' END AS action FROM orders")
 def policy_evaluation(spark, d):
     policies = spark.createDataFrame([(1, False, 2, 50000.0, "log"), (2, False, 1, 100000.0, "review"), (3, True, 9, 300000.0, "block")], "policy_id int, hard boolean, priority int, floor double, action string")

@@ -153,11 +153,6 @@ def catalog_types(spark, d):
     return catalog_columns(spark, {n: table(spark, d, n) for n in ("nation", "region", "events", "embeddings")}).groupBy("table_name", "logical_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@add("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS ts, event_type[1:5] AS event_type, props[1:5] AS props FROM events WHERE event_id < 100")
+@add("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS ts, event_type[1:2000] AS event_type, props[1:2000] AS props FROM events", also="normalized_cells_all")
 def normalized_cells(spark, d):
-    return p.normalize_cells(table(spark, d, "events").filter("event_id < 100").select("event_id", "ts", "event_type", "props"), 5)
-
-
-@add("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS ts, event_type[1:2000] AS event_type, props[1:2000] AS props FROM events")
-def normalized_cells_all(spark, d):
     return p.normalize_cells(table(spark, d, "events").select("event_id", "ts", "event_type", "props"))

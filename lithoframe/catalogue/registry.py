@@ -14,11 +14,12 @@ class Registry:
         self.queries: dict[str, Query] = {}
         self.sql: dict[str, str] = {}
 
-    def __call__(self, sql: str | None = None) -> Callable[[Query], Query]:
+    def __call__(self, sql: str | None = None, also: str | None = None) -> Callable[[Query], Query]:
         def add(query: Query) -> Query:
-            self.queries[query.__name__] = query
-            if sql is not None:
-                self.sql[query.__name__] = sql
+            for name in filter(None, (query.__name__, also)):  # ``also``: a second name
+                self.queries[name] = query
+                if sql is not None:
+                    self.sql[name] = sql
             return query
 
         return add

@@ -57,15 +57,8 @@ def planned_star_join(spark, d):
     return build(spec, tables(spark, d, "orders", "customer", "nation", "region"))
 
 
-@add("SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders WHERE o_orderstatus IN ('O', 'F') AND o_totalprice BETWEEN 1000 AND 90000 AND o_orderpriority <> '5-LOW' AND o_orderpriority LIKE '%-H%' ORDER BY o_orderkey DESC LIMIT 200")
+@add("SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders WHERE o_orderstatus IN ('O', 'F') AND o_totalprice BETWEEN 1000 AND 90000 AND o_orderpriority <> '5-LOW' AND o_orderpriority LIKE '%-H%'", also="orders_filters_mixed_all")
 def orders_filters_mixed(spark, d):
-    where = [Condition("orders", "o_orderstatus", "IN", ["O", "F"]), Condition("orders", "o_totalprice", "BETWEEN", [1000, 90000]), Condition("orders", "o_orderpriority", "!=", "5-LOW"), Condition("orders", "o_orderpriority", "LIKE", "%-H%"), Condition("orders", "o_orderkey", "IS NOT NULL")]
-    spec = QuerySpec("orders", [Field("orders", c) for c in ("o_orderkey", "o_orderstatus", "o_orderpriority")], where=where, order_by=[Order("o_orderkey")], limit=200)
-    return build(spec, tables(spark, d, "orders"))
-
-
-@add("SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders WHERE o_orderstatus IN ('O', 'F') AND o_totalprice BETWEEN 1000 AND 90000 AND o_orderpriority <> '5-LOW' AND o_orderpriority LIKE '%-H%'")
-def orders_filters_mixed_all(spark, d):
     where = [Condition("orders", "o_orderstatus", "IN", ["O", "F"]), Condition("orders", "o_totalprice", "BETWEEN", [1000, 90000]), Condition("orders", "o_orderpriority", "!=", "5-LOW"), Condition("orders", "o_orderpriority", "LIKE", "%-H%"), Condition("orders", "o_orderkey", "IS NOT NULL")]
     return build(QuerySpec("orders", [Field("orders", c) for c in ("o_orderkey", "o_orderstatus", "o_orderpriority")], where=where), tables(spark, d, "orders"))
 
@@ -164,7 +157,7 @@ _SETS = {
 }
 
 
-def _raw(name: str, sql: str, *views: str, confirmed=None):
+def _raw(name: str, sql: str, *views: str, confirmed=None, also=None):
     """A guarded SQL statement that reads alike in both dialects."""
 
     def query(spark, d):
@@ -172,7 +165,7 @@ def _raw(name: str, sql: str, *views: str, confirmed=None):
         return guard.run(spark, sql, confirmed, max_rows=None)
 
     query.__name__ = name
-    add(sql)(query)
+    add(sql, also=also)(query)
 
 
 for _name, _sql in _SETS.items():
@@ -181,8 +174,7 @@ _raw("cte_top_segments", "WITH s AS (SELECT c_mktsegment, count(*) AS n FROM cus
 _raw("correlated_average", "SELECT o_orderkey, o_custkey FROM orders o WHERE o_totalprice > 1.9 * (SELECT avg(i.o_totalprice) FROM orders i WHERE i.o_custkey = o.o_custkey)", "orders")
 _raw("window_rank_customers", "SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS place FROM customer", "customer")
 _raw("running_order_count", "SELECT o_custkey, o_orderkey, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS so_far FROM orders", "orders")
-_raw("lateral_largest_order", "SELECT c.c_custkey, x.o_orderkey FROM customer c, LATERAL (SELECT max(o.o_orderkey) AS o_orderkey FROM orders o WHERE o.o_custkey = c.c_custkey) x WHERE c.c_custkey < 100", "customer", "orders")
-_raw("lateral_largest_order_all", "SELECT c.c_custkey, x.o_orderkey FROM customer c, LATERAL (SELECT max(o.o_orderkey) AS o_orderkey FROM orders o WHERE o.o_custkey = c.c_custkey) x", "customer", "orders")
+_raw("lateral_largest_order", "SELECT c.c_custkey, x.o_orderkey FROM customer c, LATERAL (SELECT max(o.o_orderkey) AS o_orderkey FROM orders o WHERE o.o_custkey = c.c_custkey) x", "customer", "orders", also="lateral_largest_order_all")
 _raw("guarded_join_count", "SELECT n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name", "customer", "nation", confirmed=CONFIRMED)
 
 
@@ -216,24 +208,13 @@ def monthly_orders_pop_change(spark, d):
     return period_over_period(g, "month", "n").withColumn("change_percent", F.round("change_percent", 6))
 
 
-@add("SELECT o_orderkey, strftime(make_date(year(o_orderdate), month(o_orderdate), 1), '%Y-%m-%d') AS month_start FROM orders WHERE o_orderkey < 500")
+@add("SELECT o_orderkey, strftime(make_date(year(o_orderdate), month(o_orderdate), 1), '%Y-%m-%d') AS month_start FROM orders", also="synthesized_dates_all")
 def synthesized_dates(spark, d):
-    day = make_date(F.year("o_orderdate"), F.month("o_orderdate"))
-    return table(spark, d, "orders").filter("o_orderkey < 500").select("o_orderkey", day.cast("string").alias("month_start"))
-
-
-@add("SELECT o_orderkey, strftime(make_date(year(o_orderdate), month(o_orderdate), 1), '%Y-%m-%d') AS month_start FROM orders")
-def synthesized_dates_all(spark, d):
     return table(spark, d, "orders").select("o_orderkey", make_date(F.year("o_orderdate"), F.month("o_orderdate")).cast("string").alias("month_start"))
 
 
-@add("SELECT c_custkey, '***' AS c_name, c_mktsegment FROM customer WHERE c_custkey <= 50")
+@add("SELECT c_custkey, '***' AS c_name, c_mktsegment FROM customer", also="masked_customers_all")
 def masked_customers(spark, d):
-    return mask(table(spark, d, "customer").filter("c_custkey <= 50").select("c_custkey", "c_name", "c_mktsegment"), {"c_name"})
-
-
-@add("SELECT c_custkey, '***' AS c_name, c_mktsegment FROM customer")
-def masked_customers_all(spark, d):
     return mask(table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment"), {"c_name"})
 
 
@@ -296,28 +277,15 @@ def most_recent_orders(spark, d):
     return table(spark, d, "orders").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(10).select("o_orderkey")
 
 
-@add("SELECT c_custkey, CASE WHEN c_custkey <= 20 THEN 'new' ELSE c_mktsegment END AS label FROM customer WHERE c_custkey > 10 UNION ALL SELECT 1000000 + n_nationkey, 'new' FROM nation WHERE n_nationkey < 3")
+@add("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 OR c_custkey % 2 = 0 THEN 'new' ELSE c_mktsegment END AS label FROM customer UNION ALL SELECT -1 - n_nationkey, 'new' FROM nation", also="upserted_customers_all")
 def upserted_customers(spark, d):
-    stored = table(spark, d, "customer").filter("c_custkey > 10").select("c_custkey", F.col("c_mktsegment").alias("label"))
-    fresh = table(spark, d, "nation").filter("n_nationkey < 3").select((F.lit(1000000) + F.col("n_nationkey")).cast("bigint").alias("c_custkey"), F.lit("new").alias("label"))
-    return upsert(stored, table(spark, d, "customer").filter("c_custkey between 11 and 20").select("c_custkey", F.lit("new").alias("label")).unionByName(fresh), ["c_custkey"])
-
-
-@add("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 OR c_custkey % 2 = 0 THEN 'new' ELSE c_mktsegment END AS label FROM customer UNION ALL SELECT -1 - n_nationkey, 'new' FROM nation")
-def upserted_customers_all(spark, d):
     c = table(spark, d, "customer")
     fresh = table(spark, d, "nation").select((F.lit(-1) - F.col("n_nationkey")).cast("bigint").alias("c_custkey"), F.lit("new").alias("label"))
     return upsert(c.filter("c_custkey % 3 <> 0").select("c_custkey", F.col("c_mktsegment").alias("label")), c.filter("c_custkey % 3 = 0 or c_custkey % 2 = 0").select("c_custkey", F.lit("new").alias("label")).unionByName(fresh), ["c_custkey"])
 
 
-@add("SELECT c_custkey, c_mktsegment AS label FROM customer WHERE c_custkey <= 30 UNION ALL SELECT c_custkey, 'late' FROM customer WHERE c_custkey BETWEEN 31 AND 40")
+@add("SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment ELSE 'late' END AS label FROM customer", also="insert_ignored_customers_all")
 def insert_ignored_customers(spark, d):
-    c = table(spark, d, "customer")
-    return insert_ignore(c.filter("c_custkey <= 30").select("c_custkey", F.col("c_mktsegment").alias("label")), c.filter("c_custkey between 21 and 40").select("c_custkey", F.lit("late").alias("label")), ["c_custkey"])
-
-
-@add("SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment ELSE 'late' END AS label FROM customer")
-def insert_ignored_customers_all(spark, d):
     c = table(spark, d, "customer")
     return insert_ignore(c.filter("c_custkey % 3 <> 0").select("c_custkey", F.col("c_mktsegment").alias("label")), c.filter("c_custkey % 3 = 0 or c_custkey % 2 = 0").select("c_custkey", F.lit("late").alias("label")), ["c_custkey"])
 

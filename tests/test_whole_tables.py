@@ -19,3 +19,10 @@ def test_every_row_is_there(spark, sf_dir):
     assert run("upserted_customers_all") == size["customer"] + size["nation"]
     assert run("synthesized_dates_all") == size["orders"] and run("normalized_cells_all") == size["events"]
     assert run("sla_status_all") == table(spark, sf_dir, "orders").filter("o_orderdate < timestamp '2001-08-01'").count()
+
+
+def test_names_of_whole_table_queries():
+    """A query and its second name are one, with the same SQL: none of them reads a part of its tables."""
+    q, sql = catalogue.queries(), catalogue.oracle_sql()
+    twice = [n for n in q if n + "_all" in q]
+    assert len(twice) == 10 and all(q[n] is q[n + "_all"] and sql[n] == sql[n + "_all"] for n in twice)
