@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import analytics, datasets, operations, profiling, relational, reports, retrieval
+from . import analytics, datasets, governance, operations, profiling, relational, reports, retrieval
 
-_PARTS = (relational, profiling, datasets, analytics, retrieval, operations, reports)
+_PARTS = (relational, profiling, datasets, analytics, retrieval, operations, reports, governance)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
