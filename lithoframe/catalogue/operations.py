@@ -58,11 +58,15 @@ def repeated_intents(spark, d):
     return o.repeated_intents(table(spark, d, "events").select(q.alias("q")), "q")
 
 
-@add("SELECT * FROM (VALUES (1, 0, 'Healthy'), (2, 3, 'Delayed'), (3, 25, 'Missed'), (4, NULL, 'Missed'), (5, 90, 'Paused')) t(schedule_id, days_late, status)")
+@add(
+    "SELECT schedule_id, CASE WHEN last_run IS NOT NULL THEN CAST(greatest(0, late) AS INTEGER) END AS days_late, CASE WHEN paused THEN 'Paused' WHEN last_run IS NULL OR late > every_days THEN 'Missed' WHEN late > 0 THEN 'Delayed' ELSE 'Healthy' END AS status FROM "
+    "(SELECT *, date_diff('day', last_run, DATE '2001-08-01') - every_days AS late FROM (SELECT c_custkey AS schedule_id, CASE WHEN c_custkey % 2 = 0 THEN 30 ELSE 120 END AS every_days, CAST(max(o_orderdate) AS DATE) AS last_run, c_custkey % 11 = 0 AS paused FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderdate < TIMESTAMP '2001-08-01' GROUP BY c_custkey))"
+)
 def schedule_health(spark, d):
-    rows = [(1, 7, "2024-01-30", False), (2, 7, "2024-01-21", False), (3, 1, "2024-01-05", False), (4, 7, None, False), (5, 1, "2023-11-01", True)]
-    df = spark.createDataFrame(rows, "schedule_id int, every_days int, last_run string, paused boolean").withColumn("last_run", F.col("last_run").cast("date"))
-    out = o.schedule_health(df, F.lit("2024-01-31").cast("date"))
+    """Every customer as a schedule of 30 or 120 days, run by the orders up to a day."""
+    last = table(spark, d, "orders").filter("o_orderdate < timestamp '2001-08-01'").groupBy("o_custkey").agg(F.to_date(F.max("o_orderdate")).alias("last_run"))
+    df = table(spark, d, "customer").join(last, F.col("c_custkey") == F.col("o_custkey"), "left").select(F.col("c_custkey").alias("schedule_id"), F.when(F.col("c_custkey") % 2 == 0, 30).otherwise(120).alias("every_days"), "last_run", (F.col("c_custkey") % 11 == 0).alias("paused"))
+    out = o.schedule_health(df, F.lit("2001-08-01").cast("date"))
     return out.select("schedule_id", F.when(F.col("last_run").isNotNull(), F.col("days_late")).alias("days_late"), "status")
 
 
@@ -99,14 +103,18 @@ def policy_evaluation(spark, d):
     return o.first_policy(table(spark, d, "orders"), policies, F.col("o_totalprice") >= F.col("floor"), "o_orderkey").select("o_orderkey", "action")
 
 
-@add("SELECT * FROM (VALUES ('region', NULL, 'table_removed'), ('supplier', NULL, 'table_added'), ('nation', 'n_name', 'removed'), ('nation', 'n_extra', 'added'), ('nation', 'n_regionkey', 'type_changed')) t(table_name, column_name, change)")
+@add(
+    "WITH b AS (SELECT table_name, column_name, data_type FROM duckdb_columns() WHERE table_name IN ('nation', 'region')), a AS (SELECT table_name, column_name, CASE WHEN column_name = 'n_regionkey' THEN 'BIGINT' ELSE data_type END AS data_type FROM duckdb_columns() WHERE table_name IN ('nation', 'supplier') AND column_name <> 'n_name' UNION ALL SELECT 'nation', 'n_extra', 'VARCHAR'), "
+    "both_ AS (SELECT table_name FROM a INTERSECT SELECT table_name FROM b) SELECT DISTINCT table_name, CAST(NULL AS VARCHAR) AS column_name, 'table_removed' AS change FROM b WHERE table_name NOT IN (FROM both_) UNION ALL SELECT DISTINCT table_name, NULL, 'table_added' FROM a WHERE table_name NOT IN (FROM both_) "
+    "UNION ALL SELECT table_name, column_name, CASE WHEN b.data_type IS NULL THEN 'added' WHEN a.data_type IS NULL THEN 'removed' ELSE 'type_changed' END FROM b FULL JOIN a USING (table_name, column_name) WHERE table_name IN (FROM both_) AND a.data_type IS DISTINCT FROM b.data_type"
+)
 def schema_diff(spark, d):
     nation, region, supplier = (table(spark, d, n) for n in ("nation", "region", "supplier"))
     changed = nation.drop("n_name").withColumn("n_extra", F.lit("x")).withColumn("n_regionkey", F.col("n_regionkey").cast("bigint"))
     return o.schema_diff(catalog_columns(spark, {"nation": nation, "region": region}), catalog_columns(spark, {"nation": changed, "supplier": supplier}))
 
 
-@add("SELECT 1 / 3 AS overlap, false AS compatible")
+@add("SELECT share AS overlap, share >= 0.5 AS compatible FROM (SELECT count(*) FILTER (sides = 2) / count(*) AS share FROM (SELECT table_name, count(*) AS sides FROM (SELECT DISTINCT table_name, 1 AS side FROM duckdb_columns() WHERE table_name IN ('nation', 'region') UNION ALL SELECT DISTINCT table_name, 2 FROM duckdb_columns() WHERE table_name IN ('nation', 'supplier')) GROUP BY 1))")
 def fingerprint_overlap(spark, d):
     nation, region, supplier = (table(spark, d, n) for n in ("nation", "region", "supplier"))
     return o.table_overlap(catalog_columns(spark, {"nation": nation, "region": region}), catalog_columns(spark, {"nation": nation, "supplier": supplier}))

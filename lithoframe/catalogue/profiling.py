@@ -10,6 +10,7 @@ from ..plans.joins import coverage, join_quality, orphans
 from ..sources.scans import table
 from ..sources.types import catalog_columns
 from .registry import Registry
+from .relational import RELATIONS
 
 add = Registry()
 QUERIES, SQL = add.queries, add.sql
@@ -125,27 +126,74 @@ def cardinality_inference(spark, d):
     return o.select(F.lit("orders.o_custkey").alias("edge"), F.when(F.col("u") >= 0.95, "ONE_TO_ONE").otherwise("MANY_TO_ONE").alias("cardinality"), (F.col("ratio") >= 10).alias("large"))
 
 
-@add("SELECT * FROM (VALUES ('confirmed', 80), ('weak', 46)) t(edge, quality)")
-def join_quality_scores(spark, d):
-    rows = [("confirmed", join_quality(100, "MANY_TO_ONE", 100, 0, None, 2)), ("weak", join_quality(60, "MANY_TO_MANY", 0, 1, None, 0))]
-    return spark.createDataFrame(rows, "edge string, quality int")
+#: Foreign keys judged: edge, source, its column, target, its column, which targets count.
+_EDGES = (
+    ("lineitem-orders", "lineitem", "l_orderkey", "orders", "o_orderkey", "o_totalprice > 60000"),
+    ("orders-customer", "orders", "o_custkey", "customer", "c_custkey", "c_acctbal > 0"),
+    ("customer-nation", "customer", "c_nationkey", "nation", "n_nationkey", "true"),
+    ("nation-region", "nation", "n_regionkey", "region", "r_regionkey", "r_regionkey < 3"),
+)
 
 
-@add("SELECT column_name, validator, status FROM (VALUES ('email', 97.0, 'valid'), ('phone', 60.0, 'partially_valid'), ('guid', 51.0, 'partially_valid'), ('date', 85.0, 'partially_valid'), ('none', NULL, 'unknown')) t(column_name, validator, status)")
+@add(
+    "SELECT edge, CAST(least(100, round_even(0.3 * confidence, 0) + round_even(20 * CASE WHEN u >= 0.95 THEN 1.0 ELSE 0.75 END, 0) + 15 + 15 + 5 * approved + 5) AS INTEGER) AS quality FROM ("
+    + " UNION ALL ".join(f"SELECT '{e}' AS edge, {k % 3} AS approved, 100 * round(count(DISTINCT {tc}) / count(DISTINCT {sc}), 3) AS confidence, count(DISTINCT {sc}) / count({sc}) AS u FROM {st} LEFT JOIN (SELECT DISTINCT {tc} FROM {tt} WHERE {where}) ON {sc} = {tc}" for k, (e, st, sc, tt, tc, where) in enumerate(_EDGES))
+    + ")"
+)
+def join_quality_scores(spark, d):
+    pairs = None
+    for k, (edge, st, sc, tt, tc, where) in enumerate(_EDGES):
+        one = coverage(table(spark, d, st), sc, table(spark, d, tt).filter(where), tc).select(F.lit(edge).alias("edge"), F.lit(k % 3).alias("approved"), (100 * F.col("coverage")).alias("confidence"), (F.col("source_distinct") / F.col("source_nonnull")).alias("u"))
+        pairs = one if pairs is None else pairs.unionByName(one)
+    kind = F.when(F.col("u") >= 0.95, "ONE_TO_ONE").otherwise("MANY_TO_ONE")
+    return pairs.select("edge", join_quality(F.col("confidence"), kind, F.lit(100), F.col("approved"), F.lit(None).cast("double"), F.lit(2)).alias("quality"))
+
+
+#: Columns made of customer to be judged: name, semantic type, Spark expression, SQL.
+_JUDGED = (
+    ("email", "EMAIL", "if(c_custkey % 40 = 0, c_name, concat('u', c_custkey, '@example.com'))", "CASE WHEN c_custkey % 40 = 0 THEN c_name ELSE 'u' || c_custkey || '@example.com' END"),
+    ("phone", "PHONE", "if(c_custkey % 5 < 3, '555-010-1234', c_name)", "CASE WHEN c_custkey % 5 < 3 THEN '555-010-1234' ELSE c_name END"),
+    ("guid", "TEXT", "if(c_custkey % 5 < 3, concat(lpad(cast(c_custkey as string), 8, '0'), '-0000-4000-8000-000000000000'), c_name)", "CASE WHEN c_custkey % 5 < 3 THEN lpad(CAST(c_custkey AS VARCHAR), 8, '0') || '-0000-4000-8000-000000000000' ELSE c_name END"),
+    ("joined", "TEXT", "if(c_custkey % 20 < 17, '2020-01-05', c_name)", "CASE WHEN c_custkey % 20 < 17 THEN '2020-01-05' ELSE c_name END"),
+    ("broken", "EMAIL", "if(c_custkey % 5 = 0, 'a@b.cd', c_name)", "CASE WHEN c_custkey % 5 = 0 THEN 'a@b.cd' ELSE c_name END"),
+    ("c_name", "TEXT", "c_name", "c_name"),
+)
+_SHAPES = {"email": "^[^\\s@]+@[^\\s@]+\\.[^\\s@]{2,}$", "phone": "^[+\\d\\s\\-().]+$", "guid": "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$", "dated": "^\\d{4}-\\d{2}-\\d{2}"}
+_SHARES = ", ".join(f"100.0 * count(*) FILTER (regexp_matches(trim(v), '{x}'){' AND length(regexp_replace(v, $$[^0-9]$$, $$$$, $$g$$)) BETWEEN 7 AND 15' if k == 'phone' else ''}) / count(*) AS {k}" for k, x in _SHAPES.items())
+
+
+@add(
+    "SELECT column_name, round(r, 6) AS validator, CASE WHEN r >= 95 THEN 'valid' WHEN r >= 50 THEN 'partially_valid' WHEN r IS NOT NULL THEN 'invalid' ELSE 'unknown' END AS status FROM (SELECT column_name, coalesce(CASE kind WHEN 'EMAIL' THEN email WHEN 'PHONE' THEN phone WHEN 'ID' THEN guid END, CASE WHEN guid >= 50 THEN guid END, CASE WHEN dated >= 80 THEN dated END) AS r FROM ("
+    + " UNION ALL ".join(f"SELECT '{n}' AS column_name, '{kind}' AS kind, {_SHARES} FROM (SELECT {sql} AS v FROM customer) WHERE trim(v) <> ''" for n, kind, _, sql in _JUDGED)
+    + "))"
+)
 def validity_rules(spark, d):
-    rows = [("email", "EMAIL", 97.0, 0.0, 0.0, 0.0), ("phone", "PHONE", 0.0, 60.0, 0.0, 0.0), ("guid", "TEXT", 0.0, 0.0, 51.0, 0.0), ("date", "TEXT", 0.0, 0.0, 0.0, 85.0), ("none", "TEXT", 0.0, 0.0, 0.0, 0.0)]
-    df = spark.createDataFrame(rows, "column_name string, kind string, email_rate double, phone_rate double, guid_rate double, date_rate double")
-    v = p.validator_rate(F.col("kind"))
-    return df.select("column_name", v.alias("validator"), p.validity_status(v).alias("status"))
+    rates = p.pattern_rates(table(spark, d, "customer").select(*[F.expr(e).alias(n) for n, _, e, _ in _JUDGED]), [n for n, *_ in _JUDGED])
+    kind = F.coalesce(*[F.when(F.col("column_name") == n, k) for n, k, *_ in _JUDGED])
+    v = p.validator_rate(kind)
+    return rates.select("column_name", F.round(v, 6).alias("validator"), p.validity_status(v).alias("status"))
+
+
+#: Tables with what is known of them: class, number of key columns.
+_KNOWN = (("region", "Reference", 1), ("nation", "Reference", 1), ("customer", "Master", 1), ("supplier", "Master", 1), ("part", "Master", 1), ("orders", "Transactional", 1), ("lineitem", "Transactional", 0), ("events", "Audit", 1), ("tmp_orders", "Transactional", 0))
+_FK = "(VALUES " + ", ".join(f"('{r.from_table}', '{r.to_table}')" for r in RELATIONS) + ") e(a, b)"
 
 
-@add("SELECT table_name, priority, role FROM (VALUES ('orders', 75, 'inner'), ('tmp_orders', 5, 'leaf'), ('region', 55, 'root'), ('links', 60, 'junction')) t(table_name, priority, role)")
+@add(
+    "WITH k AS (SELECT table_name, count(*) AS n, bool_or(data_type LIKE 'TIMESTAMP%') AS dated FROM duckdb_columns() GROUP BY 1), c AS (SELECT * FROM k UNION ALL SELECT 'tmp_orders', n, dated FROM k WHERE table_name = 'orders'), "
+    f"x AS (SELECT c.*, kind, pks, (SELECT count(*) FROM {_FK} WHERE e.a = c.table_name) AS fks, (SELECT count(*) FROM {_FK} WHERE e.b = c.table_name) AS refs FROM c JOIN (VALUES {', '.join(map(str, _KNOWN))}) t(name, kind, pks) ON name = c.table_name) "
+    "SELECT table_name, CAST(CASE kind WHEN 'Master' THEN 50 WHEN 'Transactional' THEN 40 WHEN 'Reference' THEN 25 ELSE -25 END + CASE WHEN refs >= 5 THEN 20 ELSE 0 END + CASE WHEN fks > 0 THEN 15 ELSE 0 END + CASE WHEN dated THEN 10 ELSE 0 END + CASE WHEN pks > 0 THEN 10 ELSE 0 END - CASE WHEN table_name[1:4] = 'tmp_' THEN 50 ELSE 0 END AS INTEGER) AS priority, "
+    "CASE WHEN fks >= 2 AND n <= fks + 2 THEN 'junction' WHEN fks = 0 THEN 'root' WHEN refs = 0 THEN 'leaf' ELSE 'inner' END AS role FROM x"
+)
 def table_priorities(spark, d):
-    rows = [("orders", "Transactional", 5, 1, False, 0, 6), ("tmp_orders", "Transactional", 0, 1, False, 0, 9), ("region", "Reference", 6, 0, False, 1, 2), ("links", "Reference", 0, 2, True, 1, 3)]
-    df = spark.createDataFrame(rows, "table_name string, kind string, inbound int, fks int, has_date boolean, pks int, columns int")
+    tables = {n: table(spark, d, n.removeprefix("tmp_")) for n, *_ in _KNOWN}
+    columns = catalog_columns(spark, tables).groupBy("table_name").agg(F.count(F.lit(1)).cast("int").alias("columns"), F.bool_or(F.col("logical_type") == "DATETIME").alias("has_date"))
+    links = spark.createDataFrame([(r.from_table, r.to_table) for r in RELATIONS], "a string, b string")
+    count = lambda end, name: links.groupBy(F.col(end).alias("table_name")).agg(F.count(F.lit(1)).alias(name))
+    known = spark.createDataFrame(list(_KNOWN), "table_name string, kind string, pks int").join(columns, "table_name")
+    df = known.join(count("a", "fks"), "table_name", "left").join(count("b", "inbound"), "table_name", "left").na.fill(0, ["fks", "inbound"])
     score = p.table_priority(F.col("kind"), F.col("inbound"), F.col("fks"), F.col("has_date"), F.col("pks"), F.col("table_name"))
-    role = p.table_role(F.col("fks"), F.col("columns"), F.col("inbound"))
-    return df.select("table_name", score.alias("priority"), role.alias("role"))
+    return df.select("table_name", score.alias("priority"), p.table_role(F.col("fks"), F.col("columns"), F.col("inbound")).alias("role"))
 
 
 @add("SELECT table_name, CASE WHEN data_type IN ('INTEGER', 'BIGINT') THEN 'INTEGER' WHEN data_type IN ('FLOAT', 'DOUBLE') THEN 'DECIMAL' WHEN data_type = 'VARCHAR' THEN 'TEXT' WHEN data_type LIKE 'TIMESTAMP%' THEN 'DATETIME' ELSE 'OTHER' END AS logical_type, count(*) AS n FROM duckdb_columns() WHERE table_name IN ('nation', 'region', 'events', 'embeddings') GROUP BY ALL")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .spec import Edge, Refused
@@ -58,12 +58,13 @@ def join_type(r: Relation) -> str:
     return "LEFT" if r.null_percent > 0 else "INNER"
 
 
-def join_quality(confidence: int, kind: str, key_score: float, dictionary_approved: int = 0, domain_confidence: float | None = None, profiled: int = 0) -> int:
-    """0 to 100; ``dictionary_approved`` and ``profiled`` count the tables (0 to 2) for which it holds."""
+def join_quality(confidence: Column, kind: Column, key_score: Column, dictionary_approved: Column, domain_confidence: Column, profiled: Column) -> Column:
+    """0 to 100 for each pair; ``dictionary_approved`` and ``profiled`` count the tables (0 to 2) for which it holds, nulls count as 0. Halves go to the even number."""
     w = QUALITY_WEIGHTS
-    half = (0.0, 0.5, 1.0)
-    points = [w["confidence"] * confidence / 100, w["cardinality"] * CARDINALITY_SHARE.get(kind, 0), w["governance"], w["key"] * key_score / 100, w["dictionary"] * half[dictionary_approved], w["domain"] * (domain_confidence or 0), w["profiling"] * half[profiled]]
-    return min(100, sum(map(round, points)))
+    share = F.coalesce(*[F.when(kind == k, x) for k, x in CARDINALITY_SHARE.items()], F.lit(0.0))
+    zero = F.lit(0.0)
+    points = [w["confidence"] * confidence / 100, w["cardinality"] * share, F.lit(float(w["governance"])), w["key"] * key_score / 100, w["dictionary"] * dictionary_approved / 2, w["domain"] * domain_confidence, w["profiling"] * profiled / 2]
+    return F.least(F.lit(100), sum(F.bround(F.coalesce(x.cast("double"), zero)).cast("int") for x in points))
 
 
 def paths(relations: list[Relation], start: str, end: str, blocked: set[str] = frozenset()) -> list[list[Relation]]:
