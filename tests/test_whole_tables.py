@@ -1,5 +1,7 @@
 """Queries over whole tables return rows for every part of them."""
 
+import duckdb
+
 from lithoframe import catalogue
 from lithoframe.sources.scans import table
 
@@ -26,3 +28,15 @@ def test_names_of_whole_table_queries():
     q, sql = catalogue.queries(), catalogue.oracle_sql()
     twice = [n for n in q if n + "_all" in q]
     assert len(twice) == 10 and all(q[n] is q[n + "_all"] and sql[n] == sql[n + "_all"] for n in twice)
+
+
+def test_slowest_event_among_ties(spark, tmp_path):
+    """Events repeated with other ids: of a user's events with the highest value the first in the table, as the SQL gives in one thread."""
+    rows = [(10 * copy + k, 1 + k % 3, [5.0, 7.0, 2.0, 9.0, 7.0, None, 9.0][k]) for copy in range(4) for k in range(7)] + [(99, 4, None), (100, 5, float("nan")), (101, 5, 3.0)]
+    spark.createDataFrame(rows, "event_id bigint, user_id bigint, value double").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect(config={"threads": 1})
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = con.execute(catalogue.oracle_sql()["slowest_by_user"])
+    columns = [c[0] for c in want.description]
+    got = catalogue.queries()["slowest_by_user"](spark, str(tmp_path)).select(*columns).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want.fetchall()))
