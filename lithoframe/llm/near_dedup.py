@@ -14,11 +14,13 @@ how large a bucket is:
    often. Confirmed links give first components; a large group of near copies becomes
    one component here.
 2. In buckets that still hold several components, the members outside the largest
-   one are compared with a few members of it, which joins most of the rest.
+   one are compared with a few members of it, which joins most of the rest; how
+   many buckets two components share makes no more pairs.
 3. Buckets that hold several components even then are finished exactly: small ones
-   by a self join, others in blocks, in which only members outside the largest
-   component visit all blocks. In a block, signatures are compared first and full sets
-   only where they are near; a block gives only as many links as join its components.
+   by a self join whose pairs go on only if their signatures are near, others in
+   blocks, in which only members outside the largest component visit all blocks. In a
+   block, signatures are compared first and full sets only where they are near; a block
+   gives only as many links as join its components.
    Pairs inside a component are never listed.
 
 Candidates are confirmed on the full sets, made once from the whole texts of the
@@ -239,10 +241,10 @@ class NearDuplicates:
         both = pairs.join(x, "a").join(y, "b").filter(f"100 * least(n_a, n_b) >= {self.percent} * greatest(n_a, n_b)")
         return both.select("a", "b", "sig_a", "sig_b").mapInArrow(_close, "a bigint, b bigint")
 
-    def confirmed(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    def confirmed(self, close: DataFrame, sets: DataFrame) -> DataFrame:
         """Links that join all that the similar ones of the pairs (a, b) join, by their full sets."""
         x, y = (sets.select(F.col("fp").alias(c), F.col("s").alias(f"s_{c}")) for c in "ab")
-        return self.close(pairs).join(x, "a").join(y, "b").select("a", "b", "s_a", "s_b").mapInArrow(_confirm(self.percent), "a bigint, b bigint")
+        return close.join(x, "a").join(y, "b").select("a", "b", "s_a", "s_b").mapInArrow(_confirm(self.percent), "a bigint, b bigint")
 
     def mixed(self, buckets: DataFrame, roots: DataFrame) -> DataFrame:
         """Members of the buckets that hold several components: key, fp, comp, count, and whether fp is a stranger to the bucket's largest component. Materialised."""
@@ -253,17 +255,19 @@ class NearDuplicates:
         return self.keep(rows.join(small(self.keep(stats, "stats"), BROADCAST_ROWS), "key").select("key", "fp", "comp", "count", "main", F.expr("comp <> main").alias("stranger")), "mixed")
 
     def probes(self, mixed: DataFrame) -> DataFrame:
-        """Pairs of each stranger with a few members of its buckets' largest components, spread by salted hashes."""
-        mates = [F.min(F.struct(F.xxhash64("fp", F.lit(k)), "fp"))["fp"].alias(f"m{k}") for k in range(PROBES)]
-        main = mixed.filter("not stranger").groupBy("key").agg(*mates).select("key", F.array(*[f"m{k}" for k in range(PROBES)]).alias("mates"))
-        met = mixed.filter("stranger").join(main, "key").select("fp", F.explode("mates").alias("mate"))
-        return met.select(F.least("fp", "mate").alias("a"), F.greatest("fp", "mate").alias("b")).distinct()
+        """Near pairs of each stranger with a few members of each largest component that it meets, in however many buckets, spread by salted hashes."""
+        mates = [f"m{k}" for k in range(PROBES)]
+        main = mixed.filter("not stranger").groupBy("key").agg(*[F.min(F.struct(F.xxhash64("fp", F.lit(k)), "fp")).alias(m) for k, m in enumerate(mates)])
+        met = mixed.filter("stranger").select("key", "fp", "main").join(main, "key").groupBy("fp", "main").agg(*[F.min(m)["fp"].alias(m) for m in mates])
+        pairs = met.select("fp", F.explode(F.array_distinct(F.array(*mates))).alias("mate"))
+        return self.close(pairs.select(F.least("fp", "mate").alias("a"), F.greatest("fp", "mate").alias("b")).distinct())
 
     def few(self, mixed: DataFrame) -> DataFrame:
-        """All pairs of different components that share a small bucket, each once."""
-        rows = mixed.filter(f"count <= {FEW}")
-        x, y = (rows.select("key", F.col("fp").alias(c), F.col("comp").alias(f"comp_{c}")) for c in "ab")
-        return x.join(y, "key").filter("a < b and comp_a <> comp_b").select("a", "b").distinct()
+        """All near pairs of different components that share a small bucket, each once."""
+        rows = mixed.filter(f"count <= {FEW}").join(small(self.side.select("fp", "n", "sig"), BROADCAST_ROWS, counted(self.side)), "fp")
+        x, y = (rows.select("key", F.col("fp").alias(c), *[F.col(k).alias(f"{k}_{c}") for k in ("comp", "n", "sig")]) for c in "ab")
+        pairs = x.join(y, "key").filter(f"a < b and comp_a <> comp_b and 100 * least(n_a, n_b) >= {self.percent} * greatest(n_a, n_b)")
+        return pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(_close, "a bigint, b bigint").distinct()
 
     def many(self, mixed: DataFrame, sets: DataFrame) -> DataFrame:
         """Links that join the components of the larger buckets.
@@ -304,7 +308,7 @@ class NearDuplicates:
     def result(self) -> DataFrame:
         buckets = self.buckets()
         sets = self.sets(buckets)
-        roots = components(self.confirmed(self.stars(buckets), sets), flat=True)
+        roots = components(self.confirmed(self.close(self.stars(buckets)), sets), flat=True)
         mixed = self.mixed(buckets, roots)
         if counted(mixed):
             roots = self.joined(roots, self.confirmed(self.probes(mixed), sets))

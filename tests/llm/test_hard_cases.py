@@ -204,3 +204,29 @@ def test_release_all_deletes_what_was_written(spark):
     assert kept.count() == 3 and shared_dir(spark)
     with pytest.raises(Exception, match="PATH_NOT_FOUND|FILE_NOT_EXIST|does not exist|No such file"):
         spark.read.parquet(other._shared_path).count()
+
+
+def test_pairs_of_small_buckets_are_near(spark):
+    """Copies of a few texts with more and more words changed: strangers are listed only with texts that their signatures allow, and no link is lost."""
+    from lithoframe.llm import near_dedup as nd
+
+    R = random.Random(12)
+    word = lambda: "".join(R.choice("abcdefgh") for _ in range(5))
+    docs = []
+    for _ in range(6):
+        base = [word() for _ in range(60)]
+        docs += [" ".join(word() if R.random() < rate else w for w in base) for rate in (0, 0.01, 0.03, 0.06, 0.09, 0.12, 0.15, 0.2, 0.25, 0.3) for _ in range(6)]
+    data = list(enumerate(docs))
+    df = spark.createDataFrame(data, "doc_id bigint, text string")
+    run = nd.NearDuplicates(df, 2, 80, "doc_id", "text")
+    buckets = run.buckets()
+    sets = run.sets(buckets)
+    mixed = run.mixed(buckets, components(run.confirmed(run.close(run.stars(buckets)), sets), flat=True))
+    sign = {r.fp: (r.n, np.frombuffer(r.sig, np.uint8)) for r in sets.collect()}
+    for pairs in (run.probes(mixed).collect(), run.few(mixed).collect()):
+        assert pairs and len(set(pairs)) == len(pairs)
+        for a, b in pairs:
+            (n, x), (m, y) = sign[a], sign[b]
+            assert a < b and (x != y).sum() <= nd.FAR and 100 * min(n, m) >= 80 * max(n, m)
+    got = rows(near_duplicates(df, 2), "doc_id", "n_shingles", "component_id", "kept")
+    assert got == sorted(brute.near_duplicates(data, 2), key=repr)
