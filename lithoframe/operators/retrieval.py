@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 K1, B, FUSION = 1.5, 0.75, 60
+#: Query terms, counted for each query that has them, that every task may hold; more are joined by a shuffle.
+HELD_TERMS = 200_000
+#: Documents of a block at most, and its scores (documents times queries).
+BLOCK_DOCS, BLOCK_SCORES = 256, 1 << 20
 
 
 def _terms(text: Column) -> Column:
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
 def bm25(docs: DataFrame, queries: DataFrame, doc_id: str, fields: dict[str, float], query_id: str, query_text: str, k: int = 10, b: float = B) -> DataFrame:
@@ -19,27 +30,67 @@ def bm25(docs: DataFrame, queries: DataFrame, doc_id: str, fields: dict[str, flo
     whatever order their parts were added.
 
     The queries' distinct terms are joined first, so only terms that are asked for
-    are counted per document; lengths and document counts cover all documents.
+    are counted per document; lengths and document counts cover all documents. The
+    parts of a document meet in one row and are added up for all queries at once;
+    beyond HELD_TERMS they are joined to the queries by a shuffle.
     """
-    asked = queries.select(F.col(query_id).alias("query_id"), F.explode(F.array_distinct(_terms(F.col(query_text)))).alias("term"))
+    asked = queries.select(F.col(query_id).alias("query_id"), F.explode(F.array_distinct(_terms(F.col(query_text)))).alias("term")).distinct()
     vocabulary = asked.select("term").distinct()
+    held = asked.limit(HELD_TERMS + 1).collect()  # the queries' terms, few rows
+    few = len(held) <= HELD_TERMS
     parts = []
     for name, weight in fields.items():
         own = docs.select(F.col(doc_id).alias("doc_id"), _terms(F.col(name)).alias("terms")).withColumn("length", F.size("terms"))
         size = own.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("mean_length"))
-        tf = own.filter("length > 0").select("doc_id", "length", F.explode("terms").alias("term")).join(vocabulary, "term", "left_semi").groupBy("doc_id", "term", "length").agg(F.count(F.lit(1)).alias("tf"))
+        tf = own.filter("length > 0").select("doc_id", "length", F.explode("terms").alias("term")).join(F.broadcast(vocabulary) if few else vocabulary, "term", "left_semi").groupBy("doc_id", "term", "length").agg(F.count(F.lit(1)).alias("tf"))
         df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
         norm = F.col("tf") + K1 * (1 - b + b * F.col("length") / F.col("mean_length"))
         idf = F.ln(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        scored = tf.join(df, "term").crossJoin(F.broadcast(size)).select("doc_id", "term", (weight * idf * F.col("tf") * (K1 + 1) / norm).alias("part"))  # one row of sizes
+        scored = tf.join(F.broadcast(df) if few else df, "term").crossJoin(F.broadcast(size)).select("doc_id", "term", (weight * idf * F.col("tf") * (K1 + 1) / norm).alias("part"))  # one row of sizes
         parts.append(scored)
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
+    if few:
+        kinds = {f.name: f.dataType.simpleString() for f in (*asked.schema.fields, *every.schema.fields)}
+        rows = every.groupBy("doc_id").agg(F.collect_list("term").alias("terms"), F.collect_list("part").alias("parts"))  # neither is ever null
+        return _first(rows.mapInArrow(_best_of_blocks([(r.query_id, r.term) for r in held], k, asked.schema["query_id"].dataType), f"query_id {kinds['query_id']}, doc_id {kinds['doc_id']}, score double"), "query_id", k)
     score = asked.join(every, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 9).alias("score"))
     return _first(score, "query_id", k)
 
 
+def _best_of_blocks(asked: list[tuple], k: int, kind: DataType):
+    """query_id, doc_id, score of documents (doc_id, terms, parts): of each block those among its k best of a query that the task's earlier blocks don't exclude, so no row is made for each document and query. Ties by id."""
+    place = {q: n for n, q in enumerate(dict.fromkeys(q for q, _ in asked))}
+    askers: dict[str, list[int]] = {}
+    for q, term in asked:
+        askers.setdefault(term, []).append(place[q])
+    names, most = list(place), max(1, min(BLOCK_DOCS, BLOCK_SCORES // max(1, len(place))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        who = {t: np.array(q, dtype=np.int64) for t, q in askers.items()}
+        named = to_arrow_type(kind)
+        best = np.full((k, len(names)), -np.inf)  # each query's k highest scores so far
+        for batch in batches:
+            for lo in range(0, len(batch), most):
+                part = batch.slice(lo, most)
+                part = part.take(pc.sort_indices(part.column(0), null_placement="at_start"))
+                scores = np.full((len(part), len(names)), -np.inf)
+                for n, (terms, parts) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)):
+                    sets = [who[t] for t in terms]
+                    at = np.concatenate(sets)
+                    total = np.bincount(at, np.repeat(parts, [len(x) for x in sets]), len(names))
+                    met = np.unique(at)
+                    scores[n, met] = np.round(total[met], 9)
+                first = np.argsort(-scores, axis=0, kind="stable")[:k]
+                top = np.take_along_axis(scores, first, axis=0)
+                row, query = np.nonzero((top >= best[-1]) & (top > -np.inf))
+                best = -np.sort(-np.concatenate([best, top]), axis=0)[:k]
+                yield pa.RecordBatch.from_arrays([pa.array([names[q] for q in query.tolist()], named), part.column(0).take(pa.array(first[row, query])), pa.array(top[row, query])], names=["query_id", "doc_id", "score"])
+
+    return run
+
+
 def _first(scores: DataFrame, group: str, k: int) -> DataFrame:
     """The k highest scores of each group, ties by doc_id; each slice of a group is cut to k first, so no group meets whole in one task."""
     order = [F.desc("score"), F.col("doc_id")]
