@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import profile
 from ..operators import retrieval as o
 from ..plans.joins import shortest_paths
 from ..sources.scans import table
@@ -77,12 +76,14 @@ good AS (SELECT * FROM fine WHERE score >= 80)
 @add(f"WITH {_RELATED} SELECT t1 AS from_table_name, c1 AS from_column_name, t2 AS to_table_name, c2 AS to_column_name, kind AS cardinality, CAST(score AS INTEGER) AS score FROM good WHERE t1 IN (SELECT t1 FROM good GROUP BY t1 HAVING count(DISTINCT t2) <= 5)")
 def relationship_discovery(spark, d):
     frames = {n: table(spark, d, n) for n in _KEYED}
-    stats = None
+    populated = None
     for n, df in frames.items():
-        one = profile.column_stats(df, _KEYED[n]).select(F.lit(n).alias("table_name"), "column_name", (F.col("distinct_values") / F.col("populated")).alias("uniqueness"))
-        stats = one if stats is None else stats.unionByName(one)
-    columns = catalog_columns(spark, frames).join(stats, ["table_name", "column_name"])
-    found = o.auto_trusted(o.relationship_candidates(columns, o.containments(frames, _KEYED)))
+        rows = F.array(*[F.struct(F.lit(c).alias("column_name"), F.count(c).alias("populated")) for c in _KEYED[n]])
+        one = df.agg(rows.alias("x")).select(F.lit(n).alias("table_name"), F.inline("x"))
+        populated = one if populated is None else populated.unionByName(one)
+    sizes, contained = o.key_values(frames, _KEYED)
+    stats = sizes.join(populated, ["table_name", "column_name"]).select("table_name", "column_name", (F.col("distinct_values") / F.nullif(F.col("populated"), F.lit(0))).alias("uniqueness"))
+    found = o.auto_trusted(o.relationship_candidates(catalog_columns(spark, frames).join(stats, ["table_name", "column_name"]), contained))
     return found.select("from_table_name", "from_column_name", "to_table_name", "to_column_name", "cardinality", "score")
 
 

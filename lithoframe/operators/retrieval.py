@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import DataType
+from pyspark.sql.types import DataType, IntegralType
 
 K1, B, FUSION = 1.5, 0.75, 60
 #: Query terms, counted for each query that has them, that every task may hold; more are joined by a shuffle.
@@ -173,17 +173,45 @@ def column_stem(name: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(name), r"^[a-z]{1,2}_", ""), r"(_?id|_?key)$", "")
 
 
-def containments(frames: dict[str, DataFrame], keys: dict[str, list[str]]) -> DataFrame:
-    """from_table_name, from_column_name, to_table_name, to_column_name, held: the share of the first column's distinct values that the second has; pairs of equal stem in different tables that share a value."""
+#: Columns that one number tells apart.
+BITS = 62
+
+
+def key_values(frames: dict[str, DataFrame], keys: dict[str, list[str]]) -> tuple[DataFrame, DataFrame]:
+    """(table_name, column_name, distinct_values) of the key columns, and their ``containments``, both from one pass.
+
+    Each value of a stem is grouped once, with the columns that have it as bits of a
+    number; equal numbers are counted. What goes to the driver is a row for each set of
+    columns that some value has.
+    """
+    columns = [(t, c) for t in frames for c in keys[t]]
+    whole = all(isinstance(frames[t].schema[c].dataType, IntegralType) for t, c in columns)
     values = None
     for name, df in frames.items():
-        long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("v")) for c in keys[name]])).alias("x")).select(F.lit(name).alias("table_name"), "x.*")
+        cells = [F.struct(F.lit(k).alias("place"), column_stem(F.lit(c)).alias("stem"), F.col(f"`{c}`").cast("bigint" if whole else "string").alias("v")) for k, (t, c) in enumerate(columns) if t == name]
+        long = df.select(F.explode(F.array(*cells)).alias("x")).select("x.*")
         values = long if values is None else values.unionByName(long)
-    values = values.filter("v is not null").distinct().withColumn("stem", column_stem(F.col("column_name")))
-    size = values.groupBy(F.col("table_name").alias("from_table_name"), F.col("column_name").alias("from_column_name")).agg(F.count(F.lit(1)).alias("size"))
-    side = lambda p: values.select("stem", "v", F.col("table_name").alias(f"{p}_table_name"), F.col("column_name").alias(f"{p}_column_name"))
-    both = side("from").join(side("to"), ["stem", "v"]).filter("from_table_name <> to_table_name").groupBy("from_table_name", "from_column_name", "to_table_name", "to_column_name").agg(F.count(F.lit(1)).alias("n"))
-    return both.join(F.broadcast(size), ["from_table_name", "from_column_name"]).withColumn("held", F.col("n") / F.col("size")).drop("n", "size")  # a row per column
+    words = range(-(-len(columns) // BITS))
+    bits = [F.coalesce(F.bit_or(F.when(F.floor(F.col("place") / BITS) == w, F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("place") % BITS))), F.lit(0)).alias(f"w{w}") for w in words]
+    met = values.filter("v is not null").groupBy("stem", "v").agg(*bits).groupBy("stem", *[f"w{w}" for w in words]).agg(F.count(F.lit(1)).alias("n")).collect()
+    size: dict[int, int] = {}
+    both: dict[tuple[int, int], int] = {}
+    for r in met:
+        has = [k for k in range(len(columns)) if r[f"w{k // BITS}"] >> k % BITS & 1]
+        for a in has:
+            size[a] = size.get(a, 0) + r.n
+            for b in has:
+                if columns[a][0] != columns[b][0]:
+                    both[a, b] = both.get((a, b), 0) + r.n
+    spark = values.sparkSession
+    sizes = spark.createDataFrame([(*columns[k], size.get(k, 0)) for k in range(len(columns))], "table_name string, column_name string, distinct_values bigint")
+    names = "from_table_name string, from_column_name string, to_table_name string, to_column_name string, held double"
+    return sizes, spark.createDataFrame([(*columns[a], *columns[b], n / size[a]) for (a, b), n in both.items()], names)
+
+
+def containments(frames: dict[str, DataFrame], keys: dict[str, list[str]]) -> DataFrame:
+    """from_table_name, from_column_name, to_table_name, to_column_name, held: the share of the first column's distinct values that the second has; pairs of equal stem in different tables that share a value."""
+    return key_values(frames, keys)[1]
 
 
 def relationship_candidates(columns: DataFrame, contained: DataFrame, least: float = 0.95) -> DataFrame:
