@@ -36,7 +36,13 @@ def _stats(c: str, kind: str) -> dict[str, Column]:
 
 
 def _distinct_counts(df: DataFrame, columns: list[str]) -> DataFrame:
-    """column_name, distinct_values: values go long and are counted in two steps, so that many columns don't multiply the rows of one aggregation."""
+    """column_name, distinct_values: values go long and are counted in two steps, so that many columns don't multiply the rows of one aggregation.
+
+    Rows are dealt evenly first: a file's row group, however large, is read by one task,
+    which would hold the distinct values of all its columns.
+    """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df = df.select(*[F.col(f"`{c}`") for c in columns]).repartition(tasks, F.xxhash64(*[F.col(f"`{c}`") for c in columns]))
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("v")) for c in columns])).alias("x")).select("x.*")
     return long.filter("v is not null").distinct().groupBy("column_name").agg(F.count(F.lit(1)).alias("distinct_values"))
 

@@ -3,7 +3,7 @@
 import duckdb
 
 from lithoframe import catalogue
-from lithoframe.operators import retrieval
+from lithoframe.operators import profile, retrieval
 from lithoframe.sources.scans import table
 
 
@@ -54,3 +54,23 @@ def test_bm25_adds_up_by_document(spark, sf_dir, monkeypatch):
     assert held and "MapInArrow" in rank()._jdf.queryExecution().toString()
     monkeypatch.setattr(retrieval, "HELD_TERMS", 0)
     assert found() == held
+
+
+def test_key_values_of_many_columns(spark):
+    """Keys as text and as numbers, nulls, more columns than a number has bits; each value is grouped once, without a join."""
+    for kind in ("bigint", "string"):
+        a = spark.createDataFrame([(k if k else None, k % 4) for k in range(9)], "x_custkey bigint, x_partkey bigint").selectExpr(f"cast(x_custkey as {kind}) x_custkey", "x_partkey")
+        b = spark.createDataFrame([(k,) for k in (1, 2, 3, 99, 99)], "y_custkey bigint")
+        b = b.selectExpr("y_custkey", *[f"y_custkey + {n} as y_c{n}_key" for n in range(70)])
+        sizes, held = retrieval.key_values({"a": a, "b": b}, {"a": a.columns, "b": b.columns})
+        size = {(r.table_name, r.column_name): r.distinct_values for r in sizes.collect()}
+        assert size["a", "x_custkey"] == 8 and size["a", "x_partkey"] == 4 and size["b", "y_c69_key"] == 4 and len(size) == 73
+        assert {tuple(r) for r in held.collect()} == {("a", "x_custkey", "b", "y_custkey", 3 / 8), ("b", "y_custkey", "a", "x_custkey", 3 / 4)}
+
+
+def test_distinct_counts_deal_rows_first(spark):
+    """One task reads a whole row group: its rows are dealt before its values are held."""
+    df = spark.range(1000).selectExpr("id", "cast(id % 7 as string) as few", "if(id % 2 = 0, null, id) as some").coalesce(1)
+    got = profile.column_stats(df)
+    assert {r.column_name: r.distinct_values for r in got.collect()} == {"id": 1000, "few": 7, "some": 500}
+    assert "RepartitionByExpression" in got._jdf.queryExecution().analyzed().toString()
