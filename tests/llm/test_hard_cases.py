@@ -124,6 +124,20 @@ def test_repeats_in_texts_beyond_one_chunk(spark, monkeypatch):
         monkeypatch.undo()
 
 
+def test_repeats_query_removes_passages_from_400_bytes_on(spark, tmp_path):
+    R = random.Random(11)
+    words = lambda n: "".join("".join(R.choice("abcdefgh") for _ in range(6)) + " " for _ in range(n))
+    long, short = words(57) + "z", words(57)  # over 50 words each, 400 and 399 bytes
+    assert min(len(x.split()) for x in (long, short)) > 50 and (len(long), len(short)) == (400, 399)
+    texts = [(1, f"{words(90)}1{long}2é"), (2, f"3{long}4{words(20)}"), (3, f"{words(90)}5{short}6é"), (4, f"7{short}8{words(20)}"), (5, None)]
+    spark.createDataFrame(texts, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = q.op3_substring_dedup(spark, str(tmp_path))
+    assert got.columns[:5] == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    assert sorted(tuple(r)[:5] for r in got.collect()) == brute.repeats(texts)
+    # n_bytes is the size of the input, whatever is removed
+    assert {r.doc_id: (r.n_bytes, r.n_removed) for r in got.collect()} == {k: (len((t or "").encode()), 400 * (k < 3)) for k, t in texts}
+
+
 def test_pairwise_sum_of_the_machine():
     R = np.random.default_rng(1)
     m = Machine(0.3, R.normal(size=50).astype(np.float32), R.normal(size=(50, 8)).astype(np.float32), np.zeros((0, 0)))
